@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    A lambda of a higher-order function evaluates what it captures again for
+    every element; bound this way the captured value is a variable.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def round_even(value: Column, digits: int) -> Column:
     """Round half to even on the scaled double, the rule of array libraries."""
     scale = float(10**digits)
@@ -26,6 +35,3 @@ def safe_double(value: Column, default: float = 0.0) -> Column:
     bad = number.isNull() | F.isnan(number) | (F.abs(number) == float("inf"))
     return F.when(bad, F.lit(default)).otherwise(number)
 
-
-def balanced_sum(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)

@@ -7,6 +7,8 @@ import re
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, functions as F
 
+from .numeric import let
+
 # Section headers that may stand alone on a line.
 SECTION_HEADERS = [
     "Chief Complaint",
@@ -99,9 +101,10 @@ def sections(text: Column, headers: list[str] | None = None) -> Column:
     pattern = _header_pattern(headers or SECTION_HEADERS)
     bodies = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    named = F.transform(
+    named = F.zip_with(
         found,
-        lambda name, i: F.struct(name.alias("section"), strip(bodies[i + 1]).alias("body")),
+        F.slice(bodies, 2, F.size(found)),
+        lambda name, body: F.struct(name.alias("section"), strip(body).alias("body")),
     )
     preamble = F.array(
         F.struct(F.lit("preamble").alias("section"), strip(bodies[0]).alias("body"))
@@ -169,17 +172,22 @@ def terms(text: Column) -> Column:
 
 def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
     """All runs of ``low`` to ``high`` neighbouring words, joined by a space."""
-    runs = []
-    for n in range(low, high + 1):
-        if n == 1:
-            runs.append(words)
-            continue
-        count = F.size(words) - (n - 1)
-        starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(
-            F.array().cast("array<int>")
+    return let(words, lambda w: _runs(w, low, high))
+
+
+def _runs(words: Column, low: int, high: int) -> Column:
+    count = F.size(words)
+    run, out = words, [words]
+    for n in range(2, high + 1):
+        left = F.greatest(count - (n - 1), F.lit(0))
+        run = F.zip_with(
+            F.slice(run, 1, left),
+            F.slice(words, n, left),
+            lambda head, word: F.concat(head, F.lit(" "), word),
         )
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return runs[0] if len(runs) == 1 else F.concat(*runs)
+        out.append(run)
+    chosen = out[low - 1 :]
+    return chosen[0] if len(chosen) == 1 else F.concat(*chosen)
 
 
 def negation_count(text: Column) -> Column:
