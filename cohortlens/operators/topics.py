@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.numeric import ratio, round_even
 from .ranking import label_totals, rank_sums
@@ -296,7 +296,7 @@ def optimal_topics(
 # --- outcome ------------------------------------------------------------------
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: erfc(abs(v) / sqrt(2.0)))
 
