@@ -226,42 +226,18 @@ def tune(
         search = CrossValidator(
             estimator=base,
             estimatorParamMaps=maps,
-            evaluator=BinaryClassificationEvaluator(
-                labelCol=label, metricName=metric, numBins=0
-            ),
+            evaluator=BinaryClassificationEvaluator(labelCol=label, metricName=metric, numBins=0),
             numFolds=folds,
             foldCol="fold",
             parallelism=parallelism,
         )
-        # Only the fold scores are needed, not the final refit of fit().
-        scores = _search_scores(search, data)
+        scores = search.fit(data).avgMetrics
     finally:
         data.unpersist()
     best = max(range(len(scores)), key=lambda i: scores[i])
     return settings[best], round(scores[best], 4)
 
 
-def _search_scores(search: CrossValidator, data: DataFrame) -> list[float]:
-    """Mean score per setting over the folds."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    est, evaluator = search.getEstimator(), search.getEvaluator()
-    maps, folds = search.getEstimatorParamMaps(), search.getNumFolds()
-
-    def one(task):
-        setting, fold = task
-        inside = data.where(F.col("fold") != fold)
-        outside = data.where(F.col("fold") == fold)
-        return setting, evaluator.evaluate(est.copy(maps[setting]).fit(inside).transform(outside))
-
-    tasks = [(s, f) for s in range(len(maps)) for f in range(folds)]
-    sums = [0.0] * len(maps)
-    with ThreadPoolExecutor(search.getParallelism()) as pool:
-        for setting, value in pool.map(one, tasks):
-            sums[setting] += value
-    return [s / folds for s in sums]
-
-
 def cross_validate(
     name: str,
     df: DataFrame,
