@@ -86,18 +86,23 @@ def dominant_topic(doc_topics: DataFrame, out: str = "topic_id") -> DataFrame:
 # --- labels -------------------------------------------------------------------
 
 
+def keyword_hits(words: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(topic_id, category, category_order, n): words a topic shares with a category."""
+    mine = words.select("topic_id", F.lower("word").alias("keyword")).distinct()
+    return mine.join(keywords.dropDuplicates(["category", "keyword"]), "keyword").groupBy(
+        "topic_id", "category", "category_order"
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
 def label_topics(words: DataFrame, keywords: DataFrame) -> DataFrame:
     """(topic_id, label) for (topic_id, word) rows: the category of ``keywords``
     (category, category_order, keyword) with most hits, the first on ties, none
     gives ``Topic N``.  A repeated label gets `` (2)``, `` (3)``, ..."""
-    mine = words.select("topic_id", F.lower("word").alias("keyword")).distinct()
-    hits = mine.join(keywords.dropDuplicates(["category", "keyword"]), "keyword").groupBy(
-        "topic_id", "category", "category_order"
-    ).agg(F.count(F.lit(1)).alias("n"))
-    best = hits.groupBy("topic_id").agg(
+    best = keyword_hits(words, keywords).groupBy("topic_id").agg(
         F.max_by("category", F.struct("n", -F.col("category_order"))).alias("category")
     )
     topics = words.select("topic_id").distinct().join(best, "topic_id", "left")
+    # A handful of topics per category.
     nth = F.row_number().over(Window.partitionBy("category").orderBy("topic_id"))
     label = (
         F.when(F.col("category").isNull(), F.concat(F.lit("Topic "), F.col("topic_id")))
