@@ -10,7 +10,7 @@ from ..plans.cohort import build_cohort
 from ..session import scratch_path
 from ..sources import tables as src
 from .common import (
-    notes, r6, sales, sql_r6, sql_words, stays, subjects, table, with_stays,
+    notes, r6, raw_documents, sales, sql_r6, sql_words, stays, subjects, table, with_stays,
 )
 
 QUERIES: dict = {}
@@ -239,7 +239,7 @@ def p11(spark, d):
     f"SELECT doc_id, CAST(len({sql_words('text')}) AS BIGINT) AS n_words FROM documents",
 )
 def p12(spark, d):
-    return table(spark, d, "documents").select(
+    return raw_documents(spark, d).select(
         "doc_id", ft.word_count(F.col("text")).cast("long").alias("n_words")
     )
 
@@ -349,7 +349,7 @@ def a4(spark, d):
            count(*) AS n FROM v JOIN lim USING (lang) GROUP BY 1, 2""",
 )
 def a5(spark, d):
-    words = table(spark, d, "documents").select("lang", ft.word_count(F.col("text")).alias("n_words"))
+    words = raw_documents(spark, d).select("lang", ft.word_count(F.col("text")).alias("n_words"))
     return oc.histogram(words, "n_words", 20, ["lang"]).select("lang", "bin", "n")
 
 
@@ -359,7 +359,7 @@ def a5(spark, d):
         FROM documents GROUP BY lang""",
 )
 def a5m(spark, d):
-    words = table(spark, d, "documents").select("lang", ft.word_count(F.col("text")).alias("n_words"))
+    words = raw_documents(spark, d).select("lang", ft.word_count(F.col("text")).alias("n_words"))
     return oc.medians(words, "n_words", ["lang"]).select("lang", r6(F.col("median")).alias("median"))
 
 

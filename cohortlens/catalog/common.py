@@ -245,9 +245,20 @@ def sql_tokens(column: str) -> str:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the input has fewer splits than cores (one small file);
+    a table of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def raw_documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "lang", "source", "text"))
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, lang, source, text, cleaned_text, tokens."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "text")
+    docs = raw_documents(spark, d)
     cleaned = add_clean_text(docs)
     return cleaned.withColumn("tokens", tokenize(F.col("cleaned_text")))
 

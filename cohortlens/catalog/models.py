@@ -1,2 +1,467 @@
+"""Selection, training, search, explanation and scoring over the vectors."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import functions as F
+
+from ..operators import evaluate as ev, explain as ex, features as of, ranking as rk, select as sel
+from ..operators import train as tr
+from ..plans.prediction import explain_best, prediction_grid
+from ..session import scratch_path
+from ..streaming import scoring as sc
+from .common import r6, sql_r6, subjects, table
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def keep(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            SQL[name] = sql
+        return fn
+
+    return keep
+
+
+DIMS = 64
+
+
+def vectors(spark, d):
+    """row_id, label (class < 2), features, named e0..e63."""
+    out = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("row_id"),
+        (F.col("label") < 2).cast("int").alias("label"),
+        array_to_vector("embedding").alias("features"),
+    )
+    return of.name_vector(out, "features", [f"e{i}" for i in range(DIMS)])
+
+
+def split_vectors(spark, d):
+    rows = vectors(spark, d)
+    split = rk.stratified_split(rows.select("row_id", "label"), "label", ["row_id"])
+    joined = rows.join(split.select("row_id", "split"), "row_id")
+    return of.name_vector(joined, "features", [f"e{i}" for i in range(DIMS)]).persist()
+
+
+def part(data, name):
+    return data.where(F.col("split") == name)
+
+
+_LONG = """v AS (SELECT vec_id AS row_id, CAST(label < 2 AS INTEGER) AS label,
+  unnest(embedding)::DOUBLE AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS feature_id
+  FROM embeddings)"""
+
+# --- selection ------------------------------------------------------------------------
+
+
+@query(
+    "q1_variances",
+    f"WITH {_LONG} SELECT feature_id, {sql_r6('var_pop(x)')} AS variance FROM v GROUP BY 1",
+)
+def q1(spark, d):
+    out = sel.variances(vectors(spark, d))
+    return out.withColumn("variance", r6(F.col("variance")))
+
+
+@query(
+    "q2_anova_f",
+    f"""WITH {_LONG}, c AS (SELECT feature_id, label, count(*)::DOUBLE AS n, avg(x) AS m, var_samp(x) AS s
+        FROM v GROUP BY 1, 2), t AS (SELECT feature_id, avg(x) AS gm FROM v GROUP BY 1)
+        SELECT feature_id, {sql_r6("(sum(n * (m - gm) * (m - gm)) / (count(*) - 1)) / (sum((n - 1) * s) / (sum(n) - count(*)))")}
+        AS score FROM c JOIN t USING (feature_id) GROUP BY feature_id""",
+)
+def q2_f(spark, d):
+    return sel.anova_f(vectors(spark, d), "label").withColumn("score", r6(F.col("score")))
+
+
+def positive_vectors(spark, d):
+    rows = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("row_id"),
+        (F.col("label") < 2).cast("int").alias("label"),
+        array_to_vector(F.transform("embedding", lambda x: F.abs(x.cast("double")))).alias("features"),
+    )
+    return rows
+
+
+@query(
+    "q2_chi_square",
+    f"""WITH {_LONG}, o AS (SELECT feature_id, label, sum(abs(x)) AS o, count(*)::DOUBLE AS n FROM v GROUP BY 1, 2),
+        t AS (SELECT feature_id, sum(o) AS so, sum(n) AS sn FROM o GROUP BY 1)
+        SELECT feature_id, {sql_r6("sum((o - so * n / sn) * (o - so * n / sn) / (so * n / sn))")} AS score
+        FROM o JOIN t USING (feature_id) GROUP BY 1""",
+)
+def q2_chi(spark, d):
+    out = sel.chi_square(positive_vectors(spark, d), "label")
+    return out.withColumn("score", r6(F.col("score")))
+
+
+@query(
+    "q2_mutual_information",
+    f"""WITH {_LONG}, l AS (SELECT feature_id, min(x) AS lo, max(x) AS hi FROM v GROUP BY 1),
+        b AS (SELECT feature_id, label, least(floor((x - lo) / (hi - lo) * 10), 9) AS bin FROM v JOIN l USING (feature_id)),
+        j AS (SELECT feature_id, bin, label, count(*)::DOUBLE AS n FROM b GROUP BY 1, 2, 3),
+        w AS (SELECT *, sum(n) OVER (PARTITION BY feature_id, bin) AS nb,
+              sum(n) OVER (PARTITION BY feature_id, label) AS nc,
+              sum(n) OVER (PARTITION BY feature_id) AS nt FROM j)
+        SELECT feature_id, {sql_r6("sum(n / nt * ln(n * nt / (nb * nc)))")} AS score FROM w GROUP BY 1""",
+)
+def q2_mi(spark, d):
+    out = sel.mutual_information(vectors(spark, d), "label")
+    return out.withColumn("score", r6(F.col("score")))
+
+
+@query("q3_l1_selection")
+def q3(spark, d):
+    kept = sel.l1_selection(vectors(spark, d).persist(), "label", C=0.05, max_iter=50)
+    return spark.createDataFrame([(i,) for i in kept], "feature_id int")
+
+
+@query("q4_rfe_selection", "SELECT 16::BIGINT AS n_selected FROM embeddings LIMIT 1")
+def q4(spark, d):
+    kept = sel.rfe_selection(vectors(spark, d), "label", 16, 0.25, max_iter=20)
+    out = spark.createDataFrame([(i,) for i in kept], "feature_id int")
+    return out.agg(F.count_distinct("feature_id").alias("n_selected"))
+
+
+@query("q5_contribution_selection", "SELECT 10::BIGINT AS n_selected FROM embeddings LIMIT 1")
+def q5(spark, d):
+    kept = sel.contribution_selection(vectors(spark, d).persist(), "label", 10)
+    out = spark.createDataFrame([(i,) for i in kept], "feature_id int")
+    return out.agg(F.count_distinct("feature_id").alias("n_selected"))
+
+
+@query(
+    "q6_sliced_features",
+    f"""WITH {_LONG} SELECT row_id, 'e' || feature_id AS name, {sql_r6('x')} AS value
+        FROM v WHERE feature_id IN (3, 17, 40)""",
+)
+def q6(spark, d):
+    sliced = sel.apply_selection(vectors(spark, d), [3, 17, 40])
+    names = F.array(*[F.lit(n) for n in of.vector_names(sliced)])
+    cells = F.arrays_zip(names.alias("name"), vector_to_array("features").alias("value"))
+    return sliced.select("row_id", F.explode(cells).alias("e")).select(
+        "row_id", "e.name", r6(F.col("e.value")).alias("value")
+    )
+
+
+@query(
+    "q7_selection_report",
+    f"""WITH {_LONG}, c AS (SELECT feature_id, label, count(*)::DOUBLE AS n, avg(x) AS m, var_samp(x) AS s
+        FROM v GROUP BY 1, 2), t AS (SELECT feature_id, avg(x) AS gm FROM v GROUP BY 1),
+        f AS (SELECT feature_id, sum(n * (m - gm) * (m - gm)) / (sum((n - 1) * s) / (sum(n) - count(*))) AS score
+              FROM c JOIN t USING (feature_id) GROUP BY feature_id)
+        SELECT 'e' || feature_id AS name, 64 AS n_before, 12 AS n_after FROM f ORDER BY score DESC LIMIT 12""",
+)
+def q7(spark, d):
+    out = sel.select_features(vectors(spark, d), "label", "univariate", k=12)
+    rows = [(n, out["n_before"], out["n_after"]) for n in out["names"]]
+    return spark.createDataFrame(rows, "name string, n_before int, n_after int")
+
+
+# --- training -------------------------------------------------------------------------
+
+
+@query(
+    "m1_class_weights",
+    f"""WITH c AS (SELECT CAST(label < 2 AS INTEGER) AS label, count(*) AS n_class FROM embeddings GROUP BY 1)
+        SELECT label, n_class, {sql_r6("(SELECT sum(n_class) FROM c) / (2.0 * n_class)")} AS weight,
+        {sql_r6("(SELECT n_class FROM c WHERE label = 0) / (SELECT n_class FROM c WHERE label = 1)::DOUBLE")}
+          AS pos_ratio FROM c""",
+)
+def m1(spark, d):
+    out = tr.class_weight_table(vectors(spark, d), "label")
+    return out.withColumns({c: r6(F.col(c)) for c in ("weight", "pos_ratio")})
+
+
+@query(
+    "m2_smote_sizes",
+    """WITH c AS (SELECT CAST(label < 2 AS INTEGER) AS label, count(*) AS n FROM embeddings GROUP BY 1)
+       SELECT label, CASE WHEN (SELECT min(n) / max(n)::DOUBLE FROM c) >= 0.4 THEN n
+         ELSE (SELECT max(n) FROM c) END AS n FROM c""",
+)
+def m2(spark, d):
+    out = tr.smote(vectors(spark, d), "label", "row_id")
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Small settings keep the comparison run short; the presets are the defaults.
+SMALL = {
+    "logistic_regression": {"maxIter": 30},
+    "random_forest": {"numTrees": 10, "maxDepth": 5},
+    "gbt_depthwise": {"maxIter": 5, "maxDepth": 3},
+    "gbt_leafcapped": {"maxIter": 5, "maxDepth": 3},
+}
+
+
+def fitted(spark, d, name):
+    data = split_vectors(spark, d)
+    model = tr.train_model(name, part(data, "train"), "label", part(data, "val"), SMALL[name])
+    return data, model
+
+
+def _test_metrics(name):
+    def run(spark, d):
+        data, model = fitted(spark, d, name)
+        test = tr.score(model, part(data, "test"), ["row_id", "label"])
+        return ev.binary_metrics(test, [], "label").withColumn("model", F.lit(name))
+
+    return run
+
+
+for _id, _name in (
+    ("m3", "logistic_regression"), ("m4", "random_forest"),
+    ("m5", "gbt_depthwise"), ("m6", "gbt_leafcapped"),
+):
+    query(f"{_id}_{_name}")(_test_metrics(_name))
+
+
+@query("m7_trained_with_smote")
+def m7(spark, d):
+    data = split_vectors(spark, d)
+    model = tr.train_model(
+        "logistic_regression", part(data, "train"), "label", params={"maxIter": 30},
+        use_smote=True, row_id="row_id",
+    )
+    return ev.binary_metrics(tr.score(model, part(data, "test"), ["label"]), [], "label")
+
+
+@query("m8_random_search")
+def m8(spark, d):
+    train = part(split_vectors(spark, d), "train")
+    grid = {"C": [0.01, 0.1, 1.0], "penalty": ["l1", "l2"], "maxIter": [15]}
+    best, value = tr.tune("logistic_regression", train, "label", ["row_id"], 2, 2, grid=grid)
+    return spark.createDataFrame(
+        [(best["C"], best["penalty"], value)], "C double, penalty string, cv_score double"
+    )
+
+
+@query("m12_cross_validation")
+def m12(spark, d):
+    _, summary = tr.cross_validate(
+        "logistic_regression", vectors(spark, d), "label", ["row_id"], 3, params={"maxIter": 15}
+    )
+    return summary
+
+
+def _grid(spark, d):
+    rows = vectors(spark, d)
+    labels = rows.select("row_id", "label")
+    first = sel.apply_selection(rows, list(range(16))).select("row_id", "features")
+    return prediction_grid(
+        spark,
+        {"embeddings": rows.select("row_id", "features"), "structured": first},
+        labels,
+        row_id="row_id",
+        models=["logistic_regression", "random_forest"],
+        feature_types=["embeddings", "structured", "not_there"],
+        selection={"method": "univariate", "k": 20, "apply_to": ["embeddings"]},
+        params=SMALL,
+        cv_folds=2,
+    )
+
+
+@query("m13_prediction_grid")
+def m13(spark, d):
+    return _grid(spark, d)["results"]
+
+
+# --- explanations ---------------------------------------------------------------------
+
+WEIGHTS = [(j % 7 - 3) / 10 for j in range(DIMS)]
+
+
+def linear_table(spark, d):
+    rows = vectors(spark, d)
+    mean = rows.agg(Summarizer.mean(F.col("features")).alias("m"))
+    return ex.linear_contributions(rows, WEIGHTS, 0.25, mean, "row_id")
+
+
+_CONTRIB = f"""WITH {_LONG}, m AS (SELECT feature_id, avg(x) AS mean FROM v GROUP BY 1),
+c AS (SELECT row_id, feature_id, 'e' || feature_id AS feature, x,
+      ((feature_id % 7 - 3) / 10.0::DOUBLE) * (x - mean) AS shap FROM v JOIN m USING (feature_id)),
+b AS (SELECT 0.25 + sum(((feature_id % 7 - 3) / 10.0::DOUBLE) * mean) AS base FROM m),
+k AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(shap) DESC, feature) - 1 AS position FROM c)"""
+
+
+@query(
+    "h2_linear_contributions",
+    f"""{_CONTRIB} SELECT row_id, feature_id, {sql_r6('shap')} AS shap, {sql_r6('base')} AS base FROM c, b""",
+)
+def h2(spark, d):
+    return linear_table(spark, d).select(
+        "row_id", r6(F.col("base")).alias("base"),
+        F.posexplode("contributions").alias("feature_id", "shap"),
+    ).withColumn("shap", r6(F.col("shap")))
+
+
+@query(
+    "h4_global_importance",
+    f"""{_CONTRIB} SELECT feature, {sql_r6('avg(abs(shap))')} AS mean_abs_shap FROM c GROUP BY 1
+        ORDER BY avg(abs(shap)) DESC LIMIT 20""",
+)
+def h4(spark, d):
+    names = [f"e{i}" for i in range(DIMS)]
+    out = ex.global_importance(linear_table(spark, d), names, 20)
+    return out.select("feature", r6(F.col("mean_abs_shap")).alias("mean_abs_shap"))
+
+
+@query(
+    "h5_local_explanations",
+    f"""{_CONTRIB} SELECT row_id, CAST(position AS INTEGER) AS position, feature, {sql_r6('x')} AS value,
+        {sql_r6('shap')} AS shap, CASE WHEN shap > 0 THEN 'increases risk' ELSE 'decreases risk' END AS direction,
+        {sql_r6('base + sum(shap) OVER (PARTITION BY row_id)')} AS prediction
+        FROM k, b QUALIFY position < 5""",
+)
+def h5(spark, d):
+    out = ex.local_explanations(linear_table(spark, d), [f"e{i}" for i in range(DIMS)], "row_id", 5)
+    rows = ex.explanation_rows(out, "row_id")
+    return rows.select(
+        "row_id", "position", "feature", r6(F.col("value")).alias("value"),
+        r6(F.col("shap")).alias("shap"), "direction", r6(F.col("prediction")).alias("prediction"),
+    )
+
+
+@query(
+    "k4_top_features",
+    f"""{_CONTRIB} SELECT row_id, string_agg(feature, ',' ORDER BY position) AS features
+        FROM k WHERE position < 3 GROUP BY 1""",
+)
+def k4(spark, d):
+    out = ex.local_explanations(linear_table(spark, d), [f"e{i}" for i in range(DIMS)], "row_id", 3)
+    names = F.transform("top_features", lambda f: f["feature"])
+    return out.select("row_id", F.array_join(names, ",").alias("features"))
+
+
+@query(
+    "k5_largest_totals",
+    f"""{_CONTRIB} SELECT row_id, {sql_r6('sum(shap)')} AS total FROM c GROUP BY 1
+        ORDER BY sum(shap) DESC LIMIT 3""",
+)
+def k5(spark, d):
+    return ex.largest_total(linear_table(spark, d), "row_id", 3).withColumn("total", r6(F.col("total")))
+
+
+@query(
+    "k10_explained_sample",
+    "SELECT least(100, count(*)) AS n, least(100, count(*)) AS n_distinct FROM embeddings",
+)
+def k10(spark, d):
+    picked = rk.sample_exact(vectors(spark, d), ["row_id"], 100, 42)
+    return picked.agg(F.count("row_id").alias("n"), F.count_distinct("row_id").alias("n_distinct"))
+
+
+@query(
+    "h7_explanation_shape",
+    f"""{_CONTRIB} SELECT row_id, count(*) FILTER (shap > 0) AS n_raising, count(*) FILTER (shap <= 0) AS n_lowering,
+        {sql_r6('sum(abs(shap)) / greatest(max(abs(shap)), 1e-9)')} AS total_share
+        FROM k WHERE position < 10 GROUP BY 1""",
+)
+def h7(spark, d):
+    out = ex.local_explanations(linear_table(spark, d), [f"e{i}" for i in range(DIMS)], "row_id", 10)
+    shape = ex.explanation_shape(out, "row_id")
+    return shape.select(
+        "row_id",
+        F.col("n_raising").cast("long").alias("n_raising"),
+        F.col("n_lowering").cast("long").alias("n_lowering"),
+        r6(F.aggregate("shares", F.lit(0.0), lambda a, v: a + v)).alias("total_share"),
+    )
+
+
+@query(
+    "h3_tree_additivity",
+    """SELECT m AS model, (SELECT count(*) FROM embeddings) AS n_rows, true AS additive
+       FROM (VALUES ('random_forest'), ('gbt_depthwise')) t(m)""",
+)
+def h3(spark, d):
+    out = None
+    for name in ("random_forest", "gbt_depthwise"):
+        data, model = fitted(spark, d, name)
+        table_ = ex.contributions(model, data, data, "row_id")
+        total = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, v: a + v)
+        output = F.col("p") if name == "random_forest" else F.col("raw")
+        scored = model.transform(data).select(
+            "row_id",
+            vector_to_array("probability")[1].alias("p"),
+            vector_to_array("rawPrediction")[1].alias("raw"),
+        )
+        check = table_.join(scored, "row_id").agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.bool_and(F.abs(total - output) < 1e-6).alias("additive"),
+        ).withColumn("model", F.lit(name))
+        out = check if out is None else out.unionByName(check)
+    return out
+
+
+@query("h1_contributions_by_family")
+def h1(spark, d):
+    out = None
+    for name in ("logistic_regression", "gbt_leafcapped"):
+        data, model = fitted(spark, d, name)
+        table_ = ex.contributions(model, part(data, "test"), part(data, "train"), "row_id")
+        top = ex.global_importance(table_, of.vector_names(data), 5).withColumn("model", F.lit(name))
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
+@query("h6_best_model_explained")
+def h6(spark, d):
+    return explain_best(_grid(spark, d), "row_id", 10)["global_importance"]
+
+
+# --- scoring --------------------------------------------------------------------------
+
+
+def _request_model(spark, d):
+    """Returning customers (more than 10 orders) from their structured columns."""
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("subject_id")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    rows = subjects(spark, d).join(orders, "subject_id", "left")
+    label = (F.coalesce("n", F.lit(0)) > 10).cast("int")
+    train = of.request_row(
+        rows.withColumn("label", label), ["subject_id", "label"], age="anchor_age", los="n"
+    ).persist()
+    return train, sc.fit_request_model(train, "label", params={"maxIter": 20})
+
+
+_REQUEST = {"age": "anchor_age", "los": None}
+
+
+@query(
+    "r1_stream_equals_batch",
+    "SELECT count(*) AS n_rows, count(*) AS n_equal FROM customer",
+)
+def r1(spark, d):
+    _, model = _request_model(spark, d)
+    requests = subjects(spark, d).drop("insurance").withColumn("insurance", F.lit("Medicare Plus"))
+    folder, out = scratch_path(spark, "requests"), scratch_path(spark, "scores")
+    requests.write.parquet(folder)
+    stream = spark.readStream.schema(requests.schema).parquet(folder)
+    job = sc.start_scoring(
+        model, stream, ["subject_id"], out, scratch_path(spark, "progress"), True, **_REQUEST
+    )
+    job.awaitTermination()
+    batch = sc.score_requests(model, requests, ["subject_id"], **_REQUEST)
+    streamed = spark.read.parquet(out).select("subject_id", F.col("risk_level").alias("r"),
+                                              F.col("probability").alias("p"))
+    same = (F.col("r") == F.col("risk_level")) & (F.col("p") == F.col("probability"))
+    return batch.join(streamed, "subject_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(same).alias("n_equal")
+    )
+
+
+@query(
+    "r2_explained_requests",
+    "SELECT count(*) AS n_rows, true AS complete FROM customer",
+)
+def r2(spark, d):
+    train, model = _request_model(spark, d)
+    rows = of.request_row(subjects(spark, d), ["subject_id"], **_REQUEST)
+    out = sc.explain_rows(model, rows, train, "subject_id", top_n=5)
+    return out.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.bool_and(F.size("top_features") == 5).alias("complete")
+    )

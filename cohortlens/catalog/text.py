@@ -8,7 +8,7 @@ from ..functions import text as ft
 from ..operators import text as ot
 from ..plans.text import prepare_text
 from .common import (
-    documents, r6, sql_clean, sql_list, sql_r6, sql_tokens, table, with_docs,
+    documents, r6, raw_documents, sql_list, sql_r6, with_docs,
 )
 
 QUERIES: dict = {}
@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None):
     ),
 )
 def p7(spark, d):
-    cleaned = ot.add_clean_text(table(spark, d, "documents"))
+    cleaned = ot.add_clean_text(raw_documents(spark, d))
     return ot.keep_length_between(cleaned, 100, 5000).select(
         "doc_id", F.length("cleaned_text").cast("long").alias("n_chars")
     )
@@ -44,7 +44,7 @@ def p7(spark, d):
     with_docs("SELECT doc_id, md5(cleaned_text) AS digest FROM docs"),
 )
 def t1(spark, d):
-    return ot.add_clean_text(table(spark, d, "documents")).select(
+    return ot.add_clean_text(raw_documents(spark, d)).select(
         "doc_id", F.md5("cleaned_text").alias("digest")
     )
 
@@ -72,7 +72,7 @@ rows AS (SELECT doc_id, CAST(position AS INTEGER) AS position,
 
 
 def _with_headers(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "text")
+    docs = raw_documents(spark, d)
     return docs.withColumn("note", F.expr(_NOTE))
 
 
@@ -142,7 +142,7 @@ _EXTRA = ["ing", "ment", "er", "ed", "tion"]
     ),
 )
 def u1(spark, d):
-    cleaned = ot.add_clean_text(table(spark, d, "documents"))
+    cleaned = ot.add_clean_text(raw_documents(spark, d))
     kept = ft.tokenize(F.col("cleaned_text"), _EXTRA)
     return cleaned.groupBy("lang").agg(F.sum(F.size(kept)).alias("n_tokens"))
 
@@ -214,7 +214,7 @@ def t5_joined(spark, d):
     ),
 )
 def t6(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = raw_documents(spark, d)
     out = prepare_text(docs, removed_sections=ft.DEFAULT_REMOVED_SECTIONS, use_phrases=False)
     return out.select(
         "doc_id",
