@@ -114,14 +114,12 @@ def _r4(name: str) -> str:
     with_scored(
         f""", all_rows AS (SELECT 1 AS k, * FROM scored),
         {_CONFUSION.format(keys="k", source="all_rows")}
-        SELECT tp, fp, fn, tn, {", ".join(f"{sql_r6(m)} AS {m}" for m in ("accuracy", "precision", "recall", "f1"))}
-        FROM cr"""
+        SELECT tp, fp, fn, tn, accuracy, precision, recall, f1 FROM cr"""
     ),
 )
 def a16(spark, d):
     out = ev.confusion_rates(ev.confusion_counts(scored(spark, d), []))
-    rates = ("accuracy", "precision", "recall", "f1")
-    return out.select("tp", "fp", "fn", "tn", *[r6(F.col(m)).alias(m) for m in rates])
+    return out.select("tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1")
 
 
 @query(
@@ -156,26 +154,22 @@ def m9_large(spark, d):
     f"""WITH {_SALES}, {_AREAS.format(keys="grp", source="sales")},
     nx AS (SELECT *, lead(p) OVER w AS np, lead(n) OVER w AS nn FROM cu
            WINDOW w AS (PARTITION BY grp ORDER BY v DESC))
-    SELECT grp, v AS threshold, {sql_r6('cn / tn_all')} AS fpr, {sql_r6('cp / tp_all')} AS tpr
+    SELECT grp, v AS threshold, cn / tn_all AS fpr, cp / tp_all AS tpr
     FROM nx WHERE np IS NULL OR np <> p OR nn <> n
     UNION ALL SELECT DISTINCT grp, 'Infinity'::DOUBLE, 0, 0 FROM sales""",
 )
 def m10_roc(spark, d):
-    out = ev.roc_points(sales(spark, d), ["grp"], "outcome", "value")
-    return out.select("grp", "threshold", r6(F.col("fpr")).alias("fpr"), r6(F.col("tpr")).alias("tpr"))
+    return ev.roc_points(sales(spark, d), ["grp"], "outcome", "value")
 
 
 @query(
     "m10_pr_points",
     f"""WITH {_SALES}, {_AREAS.format(keys="grp", source="sales")}
-    SELECT grp, v AS threshold, {sql_r6('cp / (cp + cn)')} AS precision, {sql_r6('cp / tp_all')} AS recall
+    SELECT grp, v AS threshold, cp / (cp + cn) AS precision, cp / tp_all AS recall
     FROM cu UNION ALL SELECT DISTINCT grp, 'Infinity'::DOUBLE, 1, 0 FROM sales""",
 )
 def m10_pr(spark, d):
-    out = ev.pr_points(sales(spark, d), ["grp"], "outcome", "value")
-    return out.select(
-        "grp", "threshold", r6(F.col("precision")).alias("precision"), r6(F.col("recall")).alias("recall")
-    )
+    return ev.pr_points(sales(spark, d), ["grp"], "outcome", "value")
 
 
 _THRESHOLDS = """, th AS (SELECT i / 100.0::DOUBLE AS t FROM range(10, 91) r(i)),
@@ -189,7 +183,9 @@ g AS (SELECT fold, t, CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 E
 
 def _best_threshold_sql(metric: str) -> str:
     return with_scored(
-        f"""{_THRESHOLDS} SELECT fold, t AS threshold, round_even({metric}, 4) + 0 AS value FROM (
+        f"""{_THRESHOLDS} SELECT fold,
+          CASE WHEN {metric} > 0 THEN t ELSE 0.5 END AS threshold,
+          CASE WHEN {metric} > 0 THEN round_even({metric}, 4) + 0 ELSE 0 END AS value FROM (
         SELECT *, row_number() OVER (PARTITION BY fold ORDER BY {metric} DESC, t) AS r FROM g) WHERE r = 1"""
     )
 
@@ -206,11 +202,10 @@ def m11_youden(spark, d):
 
 @query(
     "m11_threshold_grid",
-    with_scored(f"{_THRESHOLDS} SELECT fold, t AS threshold, {sql_r6('f1')} AS value FROM g"),
+    with_scored(f"{_THRESHOLDS} SELECT fold, t AS threshold, f1 AS value FROM g"),
 )
 def m11_grid(spark, d):
-    out = ev.threshold_scores(scored(spark, d), ["fold"])
-    return out.withColumn("value", r6(F.col("value")))
+    return ev.threshold_scores(scored(spark, d), ["fold"])
 
 
 # --- result tables: one row per (language, fold) of the scored rows -----------------

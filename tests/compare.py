@@ -50,8 +50,9 @@ def compare(spark, con, fn, sql, sf_dir):
         return f"rows {len(left)} != {len(right)}"
     bad = [(a, b) for a, b in zip(left, right) if a != b]
     if bad:
-        only_l = [r for r in left if r not in set(right)][:2]
-        only_r = [r for r in right if r not in set(left)][:2]
+        in_l, in_r = set(left), set(right)
+        only_l = [r for r in left if r not in in_r][:2]
+        only_r = [r for r in right if r not in in_l][:2]
         return f"{len(bad)} of {len(left)} rows differ, e.g. {only_l} vs {only_r}"
     return None
 
