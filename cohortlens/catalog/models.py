@@ -232,7 +232,7 @@ def m7(spark, d):
 @query("m8_random_search")
 def m8(spark, d):
     train = part(split_vectors(spark, d), "train")
-    grid = {"C": [0.01, 0.1, 1.0], "penalty": ["l1", "l2"], "maxIter": [15]}
+    grid = {"C": [0.1, 1.0, 10.0], "penalty": ["l1", "l2"], "maxIter": [15]}
     best, value = tr.tune("logistic_regression", train, "label", ["row_id"], 2, 2, grid=grid)
     return spark.createDataFrame(
         [(best["C"], best["penalty"], value)], "C double, penalty string, cv_score double"

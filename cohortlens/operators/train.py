@@ -235,7 +235,7 @@ def tune(
     finally:
         data.unpersist()
     best = max(range(len(scores)), key=lambda i: scores[i])
-    return settings[best], round(scores[best], 4)
+    return settings[best], round(float(scores[best]), 4)
 
 
 def cross_validate(
