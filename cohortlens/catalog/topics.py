@@ -143,9 +143,9 @@ def x3_p(spark, d):
 # --- topic words: the most frequent tokens of a source (20) or a language (4) ------
 
 
-def _frequent(spark, d, group, n):
+def _frequent(spark, d, group, n, docs=None):
     counts = (
-        documents(spark, d).select(group.alias("topic_id"), F.explode("tokens").alias("word"))
+        ot.exploded(docs if docs is not None else documents(spark, d), [group.alias("topic_id")], F.col("tokens"), "word")
         .groupBy("topic_id", "word").agg(F.count(F.lit(1)).alias("c"))
     )
     w = Window.partitionBy("topic_id").orderBy(F.desc("c"), "word")
@@ -163,9 +163,9 @@ def source_words(spark, d, n=15):
 LANGUAGES = ["de", "en", "es", "fr"]
 
 
-def language_words(spark, d, n=8):
+def language_words(spark, d, n=8, docs=None):
     codes = F.array(*[F.lit(x) for x in LANGUAGES])
-    return _frequent(spark, d, (F.array_position(codes, F.col("lang")) - 1).cast("int"), n)
+    return _frequent(spark, d, (F.array_position(codes, F.col("lang")) - 1).cast("int"), n, docs)
 
 
 def keywords(spark, d):
@@ -329,8 +329,8 @@ def _sql_coherence(window: int | None, measure: str) -> str:
 
 def _coherence(measure):
     def run(spark, d):
-        docs = documents(spark, d).select("tokens")
-        return tp.coherence(docs, language_words(spark, d), measure)
+        docs = materialize(documents(spark, d).select("lang", "tokens"), "tokens")
+        return tp.coherence(docs, language_words(spark, d, docs=docs), measure)
 
     return run
 

@@ -190,6 +190,31 @@ def _runs(words: Column, low: int, high: int) -> Column:
     return chosen[0] if len(chosen) == 1 else F.concat(*chosen)
 
 
+def counted(words: Column) -> Column:
+    """``array<struct<term, tf>>``: the distinct words with their counts.  Sorted
+    once, then cut where the word changes."""
+
+    def cut(w: Column) -> Column:
+        n = F.size(w)
+        before = F.concat(F.array(F.lit(None).cast("string")), F.slice(w, 1, F.greatest(n - 1, F.lit(0))))
+        at = F.transform(
+            F.zip_with(w, before, lambda a, b: ~a.eqNullSafe(b)), lambda new, i: F.when(new, i)
+        )
+        return let(
+            F.filter(at, lambda i: i.isNotNull()),
+            lambda starts: F.zip_with(
+                starts,
+                F.concat(F.slice(starts, 2, F.size(starts)), F.array(n)),
+                lambda a, b: F.struct(F.get(w, a).alias("term"), (b - a).alias("tf")),
+            ),
+        )
+
+    empty = F.array().cast("array<struct<term:string,tf:int>>")
+    return let(
+        F.array_sort(words), lambda w: F.when(F.size(w) > 0, cut(w)).otherwise(empty)
+    )
+
+
 def negation_count(text: Column) -> Column:
     cues = "|".join(NEGATION_CUES)
     return F.regexp_count(text, F.lit(rf"(?iU)\b({cues})\b"))

@@ -115,17 +115,25 @@ def cohort_summary(
 ) -> DataFrame:
     eligible = F.when(F.col(label) >= 0, F.col(label))
     words = F.when(F.col(text).isNotNull(), ft.word_count(F.col(text)))
-    # Three narrow aggregates instead of one: two distinct counts in the same
-    # aggregate would expand every row, text column included.
-    base = df.select(subject, stay, eligible.alias("_y"), words.alias("_w")).agg(
-        F.count(F.lit(1)).alias("total_notes"),
-        round_even(F.avg("_y") * 100, 2).alias("readmission_rate_pct"),
-        round_even(F.avg("_w"), 1).alias("avg_note_length_words"),
+    # Combined per stay first: the distinct counts then run on narrow rows.
+    per_stay = df.select(subject, stay, eligible.alias("_y"), words.alias("_w")).groupBy(
+        subject, stay
+    ).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum("_y").alias("_ys"),
+        F.count("_y").alias("_yn"),
+        F.sum("_w").alias("_ws"),
+        F.count("_w").alias("_wn"),
+    )
+    return per_stay.agg(
+        F.sum("_n").alias("total_notes"),
+        F.count_distinct(subject).alias("unique_patients"),
+        F.count_distinct(stay).alias("unique_admissions"),
+        round_even(F.try_divide(F.sum("_ys"), F.sum("_yn")) * 100, 2).alias(
+            "readmission_rate_pct"
+        ),
+        round_even(F.try_divide(F.sum("_ws"), F.sum("_wn")), 1).alias("avg_note_length_words"),
     )
-    subjects = df.agg(F.count_distinct(subject).alias("unique_patients"))
-    stays = df.agg(F.count_distinct(stay).alias("unique_admissions"))
-    # One-row tables.
-    return base.join(subjects, F.lit(True)).join(stays, F.lit(True))
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -11,6 +11,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as ft
 from ..functions.numeric import let
+from ..session import materialize
+
+
+def exploded(df: DataFrame, keep: list, items: Column, name: str) -> DataFrame:
+    """One row per item.  A plain explode makes the optimizer test the array's size
+    at the scan, which evaluates an expensive array (tokens from raw text) twice;
+    the outer form with a null test after it does not, and it leaves equal
+    sub-plans equal, so their shuffles are shared."""
+    rows = df.select(*keep, F.explode_outer(items).alias(name))
+    return rows.where(F.col(name).isNotNull())
 
 
 def add_clean_text(
@@ -58,7 +68,7 @@ def lemmatize(
 
 
 def vocabulary_summary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
-    distinct = df.select(F.explode(tokens).alias("t")).agg(
+    distinct = exploded(df, [], F.col(tokens), "t").agg(
         F.count_distinct("t").alias("vocabulary_size")
     )
     mean = df.agg(F.avg(F.size(tokens)).alias("avg_tokens"))
@@ -89,10 +99,10 @@ def phrase_scores(
     pairs; ``npmi``: normalized pointwise mutual information."""
     if scoring not in ("default", "npmi"):
         raise ValueError(f"unknown scoring {scoring!r}")
-    words = df.select(F.explode(tokens).alias("w")).groupBy("w").agg(
+    words = exploded(df, [], F.col(tokens), "w").groupBy("w").agg(
         F.count(F.lit(1)).alias("n")
     )
-    pairs = df.select(F.explode(_pairs(F.col(tokens))).alias("p")).groupBy("p.a", "p.b").agg(
+    pairs = exploded(df, [], _pairs(F.col(tokens)), "p").groupBy("p.a", "p.b").agg(
         F.count(F.lit(1)).alias("n_ab")
     )
     sizes = words.agg(F.count(F.lit(1)).alias("_words"), F.sum("n").alias("_total")).join(
@@ -128,9 +138,9 @@ def join_phrases(
     starting with the first.  Only accepted positions are shuffled; the tokens are
     cut and rebuilt in place.
     """
-    pairs = df.select(doc_id, F.posexplode(_pairs(F.col(tokens))).alias("pos", "p")).select(
-        doc_id, "pos", "p.a", "p.b"
-    )
+    pairs = df.select(
+        doc_id, F.posexplode_outer(_pairs(F.col(tokens))).alias("pos", "p")
+    ).where(F.col("pos").isNotNull()).select(doc_id, "pos", "p.a", "p.b")
     hits = pairs.join(phrases.select("a", "b"), ["a", "b"], "left_semi")
     by_doc = Window.partitionBy(doc_id).orderBy("pos")  # positions of one document
     runs = hits.withColumn("_run", F.col("pos") - F.row_number().over(by_doc))
@@ -167,10 +177,15 @@ def add_phrases(
     tokens: str = "tokens",
     passes: int = 2,
 ) -> DataFrame:
-    """Two-word phrases, then (second pass) three- and four-word ones."""
+    """Two-word phrases, then (second pass) three- and four-word ones.  Each pass
+    reads its input several times, so it is written to the shared folder first."""
     for _ in range(passes):
+        df = materialize(df, "tokens")
         scores = phrase_scores(df, min_count, scoring, tokens)
-        df = join_phrases(df, scores.where(F.col("score") > threshold), doc_id, tokens)
+        # Written too: its real size then decides between broadcasting it to the
+        # pairs and a shuffled join.
+        accepted = materialize(scores.where(F.col("score") > threshold).select("a", "b"), "phrases")
+        df = join_phrases(df, accepted, doc_id, tokens)
     return df
 
 
@@ -189,30 +204,26 @@ class Vocabulary:
         rows = list(zip(range(len(self.terms)), self.terms, self.doc_freq))
         return spark.createDataFrame(rows, "term_id int, term string, df long")
 
-    def row(self, spark) -> DataFrame:
-        """One row: the terms and their idf, ln((1+n)/(1+df)) + 1, by term id."""
-        idf = [math.log((1 + self.n_docs) / (1 + d)) + 1 for d in self.doc_freq]
-        return spark.createDataFrame(
-            [(self.terms, idf)], "_terms array<string>, _idf array<double>"
-        )
+    def idf(self) -> Column:
+        """ln((1+n)/(1+df)) + 1 by term id: one constant array, folded into the
+        plan, so no row carries it."""
+        values = [math.log((1 + self.n_docs) / (1 + d)) + 1 for d in self.doc_freq]
+        return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def _name_terms(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Attach ``term`` to rows with a term_id; the vocabulary is capped by
+    ``max_terms``, hence the broadcast."""
+    names = vocab.frame(rows.sparkSession).select("term_id", "term")
+    return rows.join(F.broadcast(names), "term_id")
 
 
 def term_statistics(df: DataFrame, grams: Column) -> DataFrame:
     """(term, cnt, df): corpus count and document frequency in one scan.  Both are
     sums per term, so the partial aggregation leaves little to shuffle."""
-    mark = lambda c, d: lambda g: F.struct(
-        g.alias("t"), F.lit(c).alias("c"), F.lit(d).alias("d")
-    )
-    once = let(
-        grams,
-        lambda gs: F.concat(
-            F.transform(gs, mark(1, 0)), F.transform(F.array_distinct(gs), mark(0, 1))
-        ),
-    )
-    return (
-        df.select(F.explode(once).alias("e"))
-        .groupBy(F.col("e.t").alias("term"))
-        .agg(F.sum("e.c").alias("cnt"), F.sum("e.d").alias("df"))
+    rows = exploded(df, [], ft.counted(grams), "e")
+    return rows.groupBy(F.col("e.term").alias("term")).agg(
+        F.sum("e.tf").alias("cnt"), F.count(F.lit(1)).alias("df")
     )
 
 
@@ -247,16 +258,12 @@ def _term_counts(df: DataFrame, grams: Column, vocab: Vocabulary, out: str) -> D
 def document_term_counts(
     df: DataFrame, grams: Column, vocab: Vocabulary, doc_id: str = "doc_id"
 ) -> DataFrame:
-    """Long table (doc_id, term_id, term, tf)."""
-    counts = _term_counts(df.select(doc_id, grams.alias("_g")), F.col("_g"), vocab, "_tf")
-    rows = counts.join(F.broadcast(vocab.row(df.sparkSession)), F.lit(True)).select(
-        doc_id, "_terms", F.explode(F.arrays_zip("_tf.indices", "_tf.values")).alias("e")
-    )
-    return rows.select(
-        doc_id,
-        F.col("e.indices").alias("term_id"),
-        F.get("_terms", F.col("e.indices")).alias("term"),
-        F.col("e.values").cast("long").alias("tf"),
+    """Long table (doc_id, term_id, term, tf).  Counted inside each document, so the
+    rows are not shuffled; the vocabulary is capped by ``max_terms``."""
+    rows = exploded(df, [doc_id], ft.counted(grams), "e").select(doc_id, "e.term", "e.tf")
+    names = vocab.frame(df.sparkSession).select("term_id", "term")
+    return rows.join(F.broadcast(names), "term").select(
+        doc_id, "term_id", "term", F.col("tf").cast("long").alias("tf")
     )
 
 
@@ -286,7 +293,6 @@ def tfidf_vectors(
     sublinear: bool = True,
     out: str = "tfidf",
     vector: bool = True,
-    keep_terms: bool = False,
 ) -> DataFrame:
     """Add the weighted, L2-normalized term vector of each row.
 
@@ -295,9 +301,9 @@ def tfidf_vectors(
     array expressions, so nothing is shuffled.
     """
     counted = _term_counts(df, grams, vocab, "_tf")
-    counted = counted.join(F.broadcast(vocab.row(df.sparkSession)), F.lit(True))
+    idf = vocab.idf()
     tf = lambda v: (1 + F.ln(v)) if sublinear else v
-    raw = F.zip_with("_tf.values", "_tf.indices", lambda v, i: tf(v) * F.get("_idf", i))
+    raw = F.zip_with("_tf.values", "_tf.indices", lambda v, i: tf(v) * F.get(idf, i))
     square = lambda ws: F.aggregate(ws, F.lit(0.0), lambda acc, x: acc + x * x)
     unit = let(
         raw,
@@ -309,7 +315,7 @@ def tfidf_vectors(
         F.col("_tf.indices").alias("indices"),
         unit.alias("values"),
     )
-    done = counted.withColumn(out, parts).drop("_tf", "_idf", *([] if keep_terms else ["_terms"]))
+    done = counted.withColumn(out, parts).drop("_tf")
     return as_vector(done, out) if vector else done
 
 
@@ -322,14 +328,6 @@ def tfidf_rows(
 ) -> DataFrame:
     """Long table (doc_id, term, weight)."""
     slim = df.select(doc_id, grams.alias("_g"))
-    parts = tfidf_vectors(
-        slim, F.col("_g"), vocab, sublinear, "_w", vector=False, keep_terms=True
-    )
-    rows = parts.select(
-        doc_id, "_terms", F.explode(F.arrays_zip("_w.indices", "_w.values")).alias("e")
-    )
-    return rows.select(
-        doc_id,
-        F.get("_terms", F.col("e.indices")).alias("term"),
-        F.col("e.values").alias("weight"),
-    )
+    parts = tfidf_vectors(slim, F.col("_g"), vocab, sublinear, "_w", vector=False)
+    rows = exploded(parts, [doc_id], F.arrays_zip("_w.indices", "_w.values"), "e").select(doc_id, F.col("e.indices").alias("term_id"), F.col("e.values").alias("weight"))
+    return _name_terms(rows, vocab).select(doc_id, "term", "weight")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.numeric import ratio, round_even
 from .ranking import label_totals, rank_sums
-from .text import Vocabulary
+from .text import Vocabulary, exploded
 
 EPSILON = 1e-12
 # Sliding window of each coherence measure (None: whole document).
@@ -154,38 +154,40 @@ def cooccurrence(
     word-by-word matrix over its documents, so what is shuffled does not grow with
     the data.  A window slides by one token; a shorter document is one window.
     """
-    index = {w: i for i, w in enumerate(words)}
     size = len(words)
     step = 4096
+    # Only the hits leave the JVM: positions and word numbers, and the length.
+    known = F.array(*[F.lit(w) for w in words])
+    found = F.filter(tokens, lambda t: t.isin(words))
+    slim = docs.select(
+        F.size(tokens).alias("length"),
+        F.filter(
+            F.transform(tokens, lambda t, at: F.when(t.isin(words), at)), lambda p: p.isNotNull()
+        ).alias("spots"),
+        F.transform(found, lambda t: (F.array_position(known, t) - 1).cast("int")).alias("ids"),
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         both = np.zeros((size, size), dtype=np.int64)
         windows = 0
         for pdf in batches:
-            for row in pdf[tokens]:
-                spots: dict[int, list[int]] = {}
-                for at, token in enumerate(row):
-                    w = index.get(token)
-                    if w is not None:
-                        spots.setdefault(w, []).append(at)
-                count = 1 if window is None else max(1, len(row) - window + 1)
+            for length, at, numbers in zip(pdf["length"], pdf["spots"], pdf["ids"]):
+                count = 1 if window is None else max(1, length - window + 1)
                 windows += count
-                if not spots:
+                if len(at) == 0:
                     continue
-                ids = np.array(list(spots))
+                ids, row = np.unique(numbers, return_inverse=True)
                 if count == 1:
                     both[np.ix_(ids, ids)] += 1
                     continue
-                # Windows that hold word w: starts s with s <= p < s + window.
+                # A word at p is in the windows that start in p - window + 1 .. p.
                 for begin in range(0, count, step):
                     end = min(begin + step, count)
                     edge = np.zeros((len(ids), end - begin + 1), dtype=np.int32)
-                    for r, w in enumerate(ids):
-                        at = np.array(spots[w])
-                        first = np.clip(at - window + 1, begin, end) - begin
-                        after = np.clip(at + 1, begin, end) - begin
-                        np.add.at(edge[r], first, 1)
-                        np.add.at(edge[r], after, -1)
+                    first = np.clip(at - window + 1, begin, end) - begin
+                    after = np.clip(at + 1, begin, end) - begin
+                    np.add.at(edge, (row, first), 1)
+                    np.add.at(edge, (row, after), -1)
                     present = (edge.cumsum(axis=1)[:, :-1] > 0).astype(np.float64)
                     both[np.ix_(ids, ids)] += (present @ present.T).astype(np.int64)
         i, j = np.nonzero(np.triu(both))
@@ -197,7 +199,7 @@ def cooccurrence(
             }
         )
 
-    partial = docs.select(tokens).mapInPandas(run, "i int, j int, n long")
+    partial = slim.mapInPandas(run, "i int, j int, n long")
     return partial.groupBy("i", "j").agg(F.sum("n").alias("n"))
 
 
@@ -216,9 +218,11 @@ def coherence(
     if measure not in COHERENCE_WINDOWS:
         raise ValueError(f"unknown coherence {measure!r}")
     by = by or []
-    top = words.where(F.col("position") < top_n).select(*by, "topic_id", "position", "word")
-    listed = sorted(r[0] for r in top.select("word").distinct().collect())  # top words only
     spark = docs.sparkSession
+    top = words.where(F.col("position") < top_n).select(*by, "topic_id", "position", "word")
+    rows = top.collect()  # models x topics x top_n words, whatever the data
+    top = spark.createDataFrame(rows, top.schema)
+    listed = sorted({r["word"] for r in rows})
     counts = cooccurrence(docs, listed, COHERENCE_WINDOWS[measure], tokens)
     counts = counts.persist()  # a fixed-size table, used three times below
     total = counts.where(F.col("i") == -1).select(F.col("n").alias("_total"))
@@ -431,8 +435,10 @@ def class_tfidf(
     """(topic_id, position, word, weight): tf within the topic times
     ln(1 + mean words per topic / corpus frequency), the ``n`` best per topic."""
     counts = (
-        assigned_tokens.where(F.col(topic) >= 0)
-        .select(F.col(topic).alias("topic_id"), F.explode(tokens).alias("word"))
+        exploded(
+            assigned_tokens.where(F.col(topic) >= 0),
+            [F.col(topic).alias("topic_id")], F.col(tokens), "word",
+        )
         .groupBy("topic_id", "word")
         .agg(F.count(F.lit(1)).alias("_tf"))
     )
