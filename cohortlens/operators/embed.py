@@ -33,7 +33,7 @@ def chunk_rows(
     last = (F.ceil(over / stride) * stride).cast("int")
     starts = F.sequence(F.lit(0), last, F.lit(stride))
     return df.select(
-        doc_id, tokens, F.posexplode(starts).alias("chunk_no", "chunk_start")
+        doc_id, tokens, F.posexplode_outer(starts).alias("chunk_no", "chunk_start")
     ).select(
         doc_id,
         "chunk_no",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 # A group up to this size is sorted by one task; larger groups are split.
 HOT_GROUP_ROWS = 5_000_000
 
@@ -55,10 +57,10 @@ def _across_blocks(df: DataFrame, key: str, order: list, carry: list[str]) -> Da
     blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Range bounds come from a sample, so two runs may differ: fix the block ids
     # in checkpointed data before they are used twice.
-    placed = (
-        df.repartitionByRange(blocks, F.col(key), *order)
-        .withColumn("_block", F.spark_partition_id())
-        .checkpoint()
+    placed = cut_lineage(
+        df.repartitionByRange(blocks, F.col(key), *order).withColumn(
+            "_block", F.spark_partition_id()
+        )
     )
     w = Window.partitionBy(key, "_block").orderBy(*order)
     inside = placed.select(

@@ -7,7 +7,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tests"))
 
-from cohortlens.session import build_session, shared_root  # noqa: E402
+from cohortlens.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -23,6 +23,4 @@ def spark():
         },
     )
     session.sparkContext.setLogLevel("ERROR")
-    if session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir(shared_root(session))
     return session
