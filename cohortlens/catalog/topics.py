@@ -150,9 +150,9 @@ def _frequent(spark, d, group, n, docs=None):
     )
     w = Window.partitionBy("topic_id").orderBy(F.desc("c"), "word")
     return (
-        counts.withColumn("position", F.row_number().over(w) - 1)
-        .where(F.col("position") < n)
-        .select("topic_id", "position", "word", (F.col("c") / 1000).alias("weight"))
+        counts.withColumn("_rank", F.row_number().over(w))
+        .where(F.col("_rank") <= n)
+        .select("topic_id", (F.col("_rank") - 1).alias("position"), "word", (F.col("c") / 1000).alias("weight"))
     )
 
 

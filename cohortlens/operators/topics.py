@@ -456,9 +456,9 @@ def class_tfidf(
     # rank <= n right above the window: each task keeps n rows per topic first.
     w = Window.partitionBy("topic_id").orderBy(F.desc("weight"), "word")
     return (
-        weighted.withColumn("position", F.row_number().over(w) - 1)
-        .where(F.col("position") < n)
-        .select("topic_id", "position", "word", "weight")
+        weighted.withColumn("_rank", F.row_number().over(w))
+        .where(F.col("_rank") <= n)
+        .select("topic_id", (F.col("_rank") - 1).alias("position"), "word", "weight")
     )
 
 
