@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-
-import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import MEDICAL_STOPWORDS, tokenize
+from ..functions.text import ENGLISH_STOPWORDS, MEDICAL_STOPWORDS, tokenize
 from ..operators.text import add_clean_text
 
 
@@ -195,14 +190,6 @@ def sales(spark: SparkSession, d: str) -> DataFrame:
 # --- text -------------------------------------------------------------------------
 
 
-def english_list() -> list[str]:
-    """Spark's English stop words, read from its own jar (no session needed)."""
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar")
-    with zipfile.ZipFile(sorted(glob.glob(jars))[-1]) as jar:
-        raw = jar.read("org/apache/spark/ml/feature/stopwords/english.txt").decode()
-    return raw.split()
-
-
 def sql_list(values: list[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -236,7 +223,7 @@ def sql_words(column: str) -> str:
 
 
 def sql_tokens(column: str) -> str:
-    stop = sql_list(sorted(set(english_list()) | set(MEDICAL_STOPWORDS)))
+    stop = sql_list(sorted(set(ENGLISH_STOPWORDS) | set(MEDICAL_STOPWORDS)))
     bare = r"regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')"
     return (
         f"list_filter(list_transform(regexp_split_to_array(lower({column}), '{WS}+'), "
