@@ -2,20 +2,71 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 
 
+class _Runs(Exception):
+    """A text has white space other than single spaces and line ends."""
+
+
+def _byte_characters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable
+    Latin-1 ones stand for themselves, the others follow from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_CHARACTERS = _byte_characters()
+
+
+class _Words(dict):
+    """Ids of parts that follow a space, or that start with a line end."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.tokenizer = tokenizer
+        self.one_match = tokenizer.model.tokenize
+        self.line_end = self.ids("\n")
+        self.ends = {c: self.ids(c) for c in ".,"}
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        line = part[:1] == "\n"
+        word = part[1:] if line else part
+        end = self.ends.get(word[-1:])
+        if end and not line and word[:-1].isalpha():
+            found = self[word[:-1]] + end
+        elif word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+            raw = word if word.isascii() else word.encode().decode("latin-1").translate(_CHARACTERS)
+            ids = [token.id for token in self.one_match(raw if line else "\u0120" + raw)]
+            found = (self.line_end if line else b"") + struct.pack(f"<{len(ids)}I", *ids)
+        elif word.split() == [word]:
+            found = self.line_end + self.ids(word) if line else self.ids(" " + word)
+        else:
+            raise _Runs
+        self[part] = found
+        return found
+
+
 class CachedEncoder:
     """Encodes texts as ``Tokenizer.encode(text, add_special_tokens=False)`` does.
 
     The split pattern of byte-level BPE never matches across the border between a
-    non-space and a following space, so a text can be cut there and each part
-    encoded apart; parts that end in white space are joined to the next one.  Most
-    parts are frequent words, whose ids are remembered.  The cache is emptied when
-    it is full, which bounds a worker's memory at any input size.
+    non-space and a following space or line end, nor beyond a single line end, so a
+    text is cut there and each part encoded apart.  Most parts are frequent words,
+    whose ids are remembered.  A new word of letters (and a full stop or comma after
+    letters) is one match, which goes to the library's BPE model directly; other
+    parts take the library's whole way.  Texts with runs of white space are cut only
+    where a part ends in something else.  The memory is emptied when it is full,
+    which bounds a worker at any input size.
     """
 
-    LIMIT = 300_000
+    LIMIT = 800_000
 
     def __init__(self, path: str) -> None:
         import os
@@ -23,14 +74,9 @@ class CachedEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.after_space: dict[str, bytes | None] = {}
-        self.whole: dict[str, bytes] = {}
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        self.words = _Words(tokenizer)
 
     def _joined(self, text: str) -> bytes:
         """The slow way, for texts with runs of white space."""
@@ -41,35 +87,22 @@ class CachedEncoder:
                 parts[-1] += part
             else:
                 parts.append(part)
-        missing = [p for p in dict.fromkeys(parts) if p not in self.whole]
-        self.whole.update(zip(missing, self._ids(missing)))
-        return b"".join(map(self.whole.__getitem__, parts))
+        return b"".join(map(self.words.ids, parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.after_space) > self.LIMIT:
-            self.after_space.clear()
-        if len(self.whole) > self.LIMIT // 4:
-            self.whole.clear()
-        heads, pieces = [], []
-        for text in texts:
-            head, *rest = text.split(" ")
-            heads.append(head)
-            pieces.append(rest)
-        known = self.after_space
-        missing = [p for p in set().union(*pieces) if p not in known]
-        apart = [p for p in missing if p and not p[-1].isspace()]
-        known.update(dict.fromkeys(missing))
-        known.update(zip(apart, self._ids([" " + p for p in apart])))
-        new_heads = [h for h in set(heads) if h not in self.whole]
-        self.whole.update(zip(new_heads, self._ids(new_heads)))
+        if len(self.words) > self.LIMIT:
+            self.words.clear()
+        look = self.words.__getitem__
         out = []
-        for text, head, rest in zip(texts, heads, pieces):
-            parts = [known[p] for p in rest]
-            if None in parts or (head and rest and head[-1].isspace()):
+        for text in texts:
+            head, *rest = text.replace("\n", " \n").split(" ")
+            try:
+                if head and head.split() != [head]:
+                    raise _Runs
+                out.append((self.words.ids(head) if head else b"") + b"".join(map(look, rest)))
+            except _Runs:
                 out.append(self._joined(text))
-            else:
-                out.append(self.whole[head] + b"".join(parts))
         return out
 
 
