@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, lines, packing, wavelet
+from . import (
+    bpe, lines, packing, permutation_index, quality, recompression, suffixes, superminhash, topk, wavelet,
+)
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -86,3 +88,59 @@ def _packing(spark, d):
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op5_quality_trees")
+def _quality(spark, d):
+    docs = _table(spark, d, "documents")
+    model = quality.train(docs, _table(spark, d, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query("op6_permutation_index")
+def _permutations(spark, d):
+    return permutation_index.search(_table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op7_superminhash")
+def _near(spark, d):
+    return superminhash.near_duplicates(_table(spark, d, "documents"), words=2)
+
+
+INNER_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_dot_product(q.v, r.v) AS BIGINT) AS score
+  FROM whole q JOIN whole r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id, score
+FROM scored
+QUALIFY rank <= 10
+"""
+
+
+@query("op8_exact_topk", INNER_SQL)
+def _topk(spark, d):
+    return topk.search(_table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op9_recompression")
+def _passages(spark, d):
+    kept = recompression.remove_repeated_passages(_table(spark, d, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op10_suffix_names")
+def _strings(spark, d):
+    kept = suffixes.remove_repeated_strings(_table(spark, d, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
