@@ -227,3 +227,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, bands:
         F.when(component < (1 << 63) - 1, component).alias("component_id"),
         (F.col("did") == component).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of near-duplicates, that of smallest
+    doc_id.  Rows of one doc_id stay or go together, and stay if any of them is kept."""
+    gone = materialize(
+        near_duplicates(docs, words, threshold).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+        .where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.lit(1).alias("_one")),
+        "dropped",
+    )
+    joined = docs.join(sized_broadcast(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left")
+    return joined.where(F.col("_one").isNull()).select(*(docs[c] for c in docs.columns))
