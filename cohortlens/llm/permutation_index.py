@@ -72,7 +72,8 @@ def search(
     dim = vectors.dimension(every)
     sample = every.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(2 * pivots).collect()
     distinct = dict.fromkeys(tuple(r.v) + (0.0,) * (dim - len(r.v)) for r in sample)
-    chosen = np.array(list(distinct)[:pivots]).reshape(-1, dim)
+    kept = list(distinct)[:pivots]
+    chosen = np.array(kept).reshape(len(kept), dim)
     m = min(nearest, len(chosen))
 
     def index(_ids: np.ndarray, matrix: np.ndarray) -> dict:
