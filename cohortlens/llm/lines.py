@@ -30,49 +30,52 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_length: int = 20
     one row per task, and hashes below the threshold are gone before the join.
     Lines are put back by position in the row's own array.
     """
-    names = docs.columns
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    rows = docs.withColumns({"_id": F.struct("doc_id", F.xxhash64("text").alias("t"))})
+    texts = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.struct("doc_id", F.xxhash64("text").alias("t")).alias("id"),
+        texts.alias("lines"),
+    )
     keys = F.transform(
-        lines,
+        "lines",
         lambda x: F.when(
             F.length(line_key(x)) >= min_length, F.struct(*(h.alias(n) for h, n in zip(two_hashes(line_key(x)), "gh")))
         ),
     )
-    # One row per document and key, with the row's identity.
+    # One row per document and key.
     held = (
-        rows.select("_id", F.explode(F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))).alias("k"))
-        .select("_id", "k.g", "k.h")
+        rows.select("id", F.explode(F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))).alias("k"))
+        .select("id", "k.g", "k.h")
     )
     often = (
         held.groupBy("g", "h")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("_id.doc_id").alias("last"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max("id.doc_id").alias("last"))
         .where(F.col("n") >= min_docs)
         .drop("n")
     )
     drops = (
         held.join(often, ["g", "h"])
-        .where(~F.col("_id.doc_id").eqNullSafe(F.col("last")))
-        .groupBy("_id")
-        .agg(F.collect_set(F.struct("g", "h")).alias("_drop"))
-    )
-    gone = F.col("_drop")
-    marked = rows.join(drops.hint("shuffle_hash"), rows["_id"].eqNullSafe(drops["_id"]), "left").select(
-        *(rows[c] for c in names), gone, lines.alias("_lines")
+        .where(~F.col("id.doc_id").eqNullSafe(F.col("last")))
+        .groupBy("id")
+        .agg(F.collect_set(F.struct("g", "h")).alias("gone"))
+        .withColumnRenamed("id", "of")
     )
-    kept = F.when(gone.isNull(), F.col("_lines")).otherwise(
+    gone = F.col("gone")
+    marked = rows.join(drops.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("of")), "left")
+    kept = F.when(gone.isNull(), F.col("lines")).otherwise(
         F.transform(
             F.filter(
-                F.arrays_zip(F.col("_lines").alias("line"), keys.alias("key")),
+                F.arrays_zip(F.col("lines").alias("line"), keys.alias("key")),
                 lambda z: z["key"].isNull() | ~F.array_contains(gone, z["key"]),
             ),
             lambda z: z["line"],
         )
     )
-    done = marked.withColumn("_kept", kept)
-    n_lines = F.size("_lines").cast("long")
+    done = marked.select("row", "lines", kept.alias("kept"))
+    n_lines = F.size("lines").cast("long")
+    text = F.array_join("kept", "\n").alias("text")
     return done.select(
-        *(F.array_join("_kept", "\n").alias("text") if c == "text" else F.col(c) for c in names),
+        *(text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns),
         n_lines.alias("n_lines"),
-        (n_lines - F.size("_kept")).alias("n_dropped"),
+        (n_lines - F.size("kept")).alias("n_dropped"),
     )

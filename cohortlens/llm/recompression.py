@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from . import repeats
-from .common import Hashes, mix, texts_of
+from .common import Hashes, mix
 
 #: Rounds of naming.  A round shortens prose by about a quarter; windows that hold
 #: no symbol of the last round use one of an earlier round.
@@ -172,29 +170,27 @@ def remove_repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     windows that may repeat; those are then compared by fingerprints of all their
     words (``repeats``).
     """
-    names = docs.columns
     schema = T.StructType([
         *docs.schema.fields,
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
     ])
 
-    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, counts, gone = [], [], []
-            columns = [batch.column(c).to_pylist() for c in ("_rank", "_starts", "_ends", "_least")]
-            for text, rank, starts, ends, least in zip(texts_of(batch), *columns):
-                words = words_of(text)
-                counts.append(len(words))
-                if least is not None and least < rank and len(words) >= length:
-                    words = []
-                elif starts:
-                    edges = [0, *(x for pair in zip(starts, ends) for x in pair), len(words)]
-                    words = [w for a, b in zip(edges[::2], edges[1::2]) for w in words[a:b]]
-                gone.append(counts[-1] - len(words))
-                texts.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-            out = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(
-                [*out, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_words", "n_removed"]
-            )
+    def done(row: dict[str, pa.Array], batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, counts, gone = [], [], []
+        columns = [batch.column(c).to_pylist() for c in ("rank", "starts", "ends", "least")]
+        for text, rank, starts, ends, least in zip(row["text"].to_pylist(), *columns):
+            words = words_of(text or "")
+            counts.append(len(words))
+            if least is not None and least < rank and len(words) >= length:
+                words = []
+            elif starts:
+                edges = [0, *(x for pair in zip(starts, ends) for x in pair), len(words)]
+                words = [w for a, b in zip(edges[::2], edges[1::2]) for w in words[a:b]]
+            gone.append(counts[-1] - len(words))
+            texts.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+        out = row | {"text": pa.array(texts, pa.string())}
+        return pa.RecordBatch.from_arrays(
+            [*out.values(), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=schema.names
+        )
 
     return repeats.finish(docs, repeats.repeated_spans(docs, rule(length)), done, schema)

@@ -190,34 +190,39 @@ def _receive(rule: Rule, buckets: int):
 
 
 def with_identity(docs: DataFrame) -> DataFrame:
-    """``docs`` with _t and _u, the hashes of the text (null as empty), and _rank,
-    the doc_id with null below all."""
+    """row (all columns of ``docs``), t and u (hashes of the text, null as empty) and
+    rank (the doc_id, null below all)."""
     t, u = two_hashes(F.coalesce("text", F.lit("")))
-    return docs.withColumns({"_t": t, "_u": u, "_rank": F.coalesce("doc_id", F.lit(-(1 << 63)))})
+    rank = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    return docs.select(F.struct(*docs.columns).alias("row"), t.alias("t"), u.alias("u"), rank.alias("rank"))
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """_t, _u, _least (smallest rank), of texts that several rows have."""
+    """t, u, least (smallest rank), of texts that several rows have."""
     return materialize(
-        with_identity(docs.select("doc_id", "text")).groupBy("_t", "_u")
-        .agg(F.min("_rank").alias("_least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
+        with_identity(docs.select("doc_id", "text")).groupBy("t", "u")
+        .agg(F.min("rank").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
         "copies",
     )
 
 
 def finish(docs: DataFrame, spans: DataFrame, done: Callable, schema) -> DataFrame:
-    """Each row of ``docs`` with _starts, _ends (null without repeats) and _least
-    (null without copies), given to ``done`` in Arrow batches."""
-    small = spans.select(
-        F.col("t").alias("_t"), F.col("u").alias("_u"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends")
-    )
+    """Each row of ``docs`` with starts and ends (null without repeats) and least
+    (null without copies), given to ``done`` in Arrow batches: the row's columns by
+    name, and the batch."""
     joined = (
         with_identity(docs)
-        .join(sized_broadcast(small, 200_000), ["_t", "_u"], "left")
-        .join(sized_broadcast(copies(docs)), ["_t", "_u"], "left")
-        .select(*docs.columns, "_rank", "_starts", "_ends", "_least")
+        .join(sized_broadcast(spans, 200_000), ["t", "u"], "left")
+        .join(sized_broadcast(copies(docs)), ["t", "u"], "left")
+        .select("row", "rank", "starts", "ends", "least")
     )
-    return joined.mapInArrow(done, schema)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield done(dict(zip(names, batch.column("row").flatten())), batch)
+
+    return joined.mapInArrow(run, schema)
 
 
 def repeated_spans(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -226,8 +231,7 @@ def repeated_spans(docs: DataFrame, rule: Rule) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = with_identity(docs.select("doc_id", "text")).select(
-        F.col("_t").alias("t"), F.col("_u").alias("u"), F.col("_rank").alias("rank"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        "t", "u", "rank", F.coalesce("row.text", F.lit("")).alias("text")
     )
     anchors = materialize(rows.select("t", "u", "text").mapInArrow(_anchor_rows(rule), ANCHORS), "anchors")
     alone = (F.col("t0") == F.col("t1")) & (F.col("u0") == F.col("u1")) & ~F.col("again")

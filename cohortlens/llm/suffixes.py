@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from . import repeats
-from .common import mix, texts_of
+from .common import mix
 
 #: Bytes of the prefixes by which suffixes are sampled: a power of three.
 SAMPLE = 81
@@ -114,29 +112,24 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400) -> DataFrame:
     Sampled suffixes whose names are shared decide where strings may repeat; the
     names of all strings there are sorted and neighbours compared (``repeats``).
     """
-    names = docs.columns
     more = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType())]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in more)])
 
-    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, sizes, spans = [], [], []
-            columns = [batch.column(c).to_pylist() for c in ("_starts", "_ends", "_least")]
-            for text, starts, ends, least in zip(texts_of(batch), *columns):
-                raw = text.encode("utf-8", "surrogatepass")
-                sizes.append(len(raw))
-                if least is not None and len(raw) >= length:
-                    starts, ends = [0], [len(raw)]
-                edges = [0, *(x for pair in zip(starts or (), ends or ()) for x in pair), len(raw)]
-                kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
-                spans.append(len(starts or ()))
-            text = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
-            out = [text if c == "text" else batch.column(c) for c in names]
-            gone = [a - len(b) for a, b in zip(sizes, kept)]
-            yield pa.RecordBatch.from_arrays(
-                [*out, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()),
-                 pa.array(kept, pa.binary())],
-                names=[*names, *(n for n, _ in more)],
-            )
+    def done(row: dict[str, pa.Array], batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept, sizes, spans = [], [], []
+        columns = [batch.column(c).to_pylist() for c in ("starts", "ends", "least")]
+        for text, starts, ends, least in zip(row["text"].to_pylist(), *columns):
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            sizes.append(len(raw))
+            if least is not None and len(raw) >= length:
+                starts, ends = [0], [len(raw)]
+            edges = [0, *(x for pair in zip(starts or (), ends or ()) for x in pair), len(raw)]
+            kept.append(b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2])]))
+            spans.append(len(starts or ()))
+        out = row | {"text": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())}
+        counts = (sizes, [a - len(b) for a, b in zip(sizes, kept)], spans)
+        return pa.RecordBatch.from_arrays(
+            [*out.values(), *(pa.array(c, pa.int64()) for c in counts), pa.array(kept, pa.binary())], names=schema.names
+        )
 
     return repeats.finish(docs, repeats.repeated_spans(docs, rule(length)), done, schema)

@@ -237,5 +237,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -
         .where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.lit(1).alias("_one")),
         "dropped",
     )
-    joined = docs.join(sized_broadcast(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left")
-    return joined.where(F.col("_one").isNull()).select(*(docs[c] for c in docs.columns))
+    small = sized_broadcast(gone)
+    joined = docs.join(small, docs["doc_id"].eqNullSafe(small["_gone"]), "left")
+    return joined.where(small["_one"].isNull()).select(*(docs[c] for c in docs.columns))
