@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import cohort as fc, text as ft
 from ..functions.numeric import round_even
-from .ranking import exact_quantile, sample_exact
+from .ranking import exact_quantile, join_groups, sample_exact
 from .sequence import HOT_GROUP_ROWS, neighbours
 
 
@@ -187,7 +187,7 @@ def histogram(df: DataFrame, column: str, bins: int, by: list[str] | None = None
         F.when(lone, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"),
         F.when(lone, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"),
     )
-    joined = data.join(limits, by) if by else data.join(limits, F.lit(True))
+    joined = join_groups(data, F.broadcast(limits), by)  # one row per group
     width = (F.col("_hi") - F.col("_lo")) / bins
     bin_no = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1))
     # Bins are counted before their borders are attached.

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numeric import ratio, round_even
-from .ranking import label_totals, rank_sums, value_buckets
+from .ranking import join_groups, label_totals, rank_sums
 
 METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"]
 THRESHOLDS = range(10, 91)  # hundredths
@@ -50,12 +50,17 @@ def binary_metrics(
 ) -> DataFrame:
     """Accuracy, precision, recall, F1 at the threshold, exact ROC-AUC and average
     precision, and the confusion counts.  One class only: both areas are 0."""
-    predicted = df.select(
-        *keys, label, score, (F.col(score) >= threshold).cast("int").alias("_pred")
+    totals = label_totals(df, keys, score, label)
+    above, below = F.col("score") >= threshold, F.col("score") < threshold
+    counts = totals.groupBy(*keys).agg(
+        *[
+            F.sum(F.when(side, F.col(kind)).otherwise(0)).alias(name)
+            for name, side, kind in (
+                ("tp", above, "ones"), ("fp", above, "zeros"), ("fn", below, "ones"), ("tn", below, "zeros")
+            )
+        ]
     )
-    rates = confusion_rates(confusion_counts(predicted, keys, label, "_pred"))
-    areas = rank_sums(label_totals(df, keys, score, label), keys)
-    joined = rates.join(areas, keys if keys else F.lit(True))
+    joined = join_groups(confusion_rates(counts), rank_sums(totals, keys), keys)
     value = lambda c: round_even(F.col(c), digits) if digits is not None else F.col(c)
     return joined.select(*keys, *[value(m).alias(m) for m in METRICS], "tp", "fp", "fn", "tn")
 
@@ -88,7 +93,7 @@ def roc_points(
         ((F.col("total_pos") - F.col("cum_pos") + F.col("pos")) / F.col("total_pos")).alias("tpr"),
     )
     return points.unionByName(
-        _end_points(df, keys, label, "fpr", "tpr", [(0.0, 0.0)], [(0.0, 0.0), (1.0, 1.0)])
+        _end_points(totals, keys, "fpr", "tpr", [(0.0, 0.0)], [(0.0, 0.0), (1.0, 1.0)])
     )
 
 
@@ -107,14 +112,14 @@ def pr_points(
         ratio(tp, F.col("total_pos")).alias("recall"),
     )
     return points.unionByName(
-        _end_points(df, keys, label, "precision", "recall", [(1.0, 0.0)], [(0.0, 1.0), (1.0, 0.0)])
+        _end_points(totals, keys, "precision", "recall", [(1.0, 0.0)], [(0.0, 1.0), (1.0, 0.0)])
     )
 
 
-def _end_points(df, keys, label, x, y, usual, one_class) -> DataFrame:
+def _end_points(totals, keys, x, y, usual, one_class) -> DataFrame:
     """Fixed points per key: ``usual`` when both classes occur, else ``one_class``."""
-    kinds = df.groupBy(*keys).agg(
-        (F.min(F.col(label)) != F.max(F.col(label))).alias("_both")
+    kinds = totals.groupBy(*keys).agg(
+        ((F.max("total_pos") > 0) & (F.max("total_neg") > 0)).alias("_both")
     )
     pack = lambda pts: F.array(
         *[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pts]
@@ -127,14 +132,13 @@ def _end_points(df, keys, label, x, y, usual, one_class) -> DataFrame:
 
 def _next_lower(totals: DataFrame, keys: list[str]) -> DataFrame:
     """Attach ``_next``: pos and neg at the next lower score, across buckets too."""
-    marked = value_buckets(totals, "score", "_place")
     step = F.struct("pos", "neg")
-    edge = marked.groupBy(*keys, "_place").agg(F.max_by(step, "score").alias("_top"))
+    edge = totals.groupBy(*keys, "_bucket").agg(F.max_by(step, "score").alias("_top"))
     group = [F.col(k) for k in keys] or [F.lit(0)]
-    along = Window.partitionBy(*group).orderBy("_place")  # one row per bucket
-    edge = edge.select(*keys, "_place", F.lag("_top").over(along).alias("_below"))
-    inner = Window.partitionBy(*keys, "_place").orderBy("score")
-    return marked.join(edge, [*keys, "_place"]).withColumn(
+    along = Window.partitionBy(*group).orderBy("_bucket")  # one row per bucket
+    edge = edge.select(*keys, "_bucket", F.lag("_top").over(along).alias("_below"))
+    inner = Window.partitionBy(*keys, "_bucket").orderBy("score")
+    return join_groups(totals, edge, [*keys, "_bucket"]).withColumn(
         "_next", F.coalesce(F.lag(step).over(inner), F.col("_below"))
     )
 

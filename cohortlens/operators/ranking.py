@@ -11,13 +11,25 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import ratio
+from ..session import materialize
 
 INF = float("inf")
 
 
 def bucket_count(df: DataFrame) -> int:
-    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(4096, shuffle))
+    """Buckets grow with the cluster's shuffle partitions, which follow the data."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join a table with its own totals: a null key is a group like any other."""
+    if not keys:
+        return left.join(F.broadcast(right), F.lit(True), how)
+    other = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(other[f"_of_{k}"])
+    return left.join(other, same, how).drop(*[f"_of_{k}" for k in keys])
 
 
 def value_buckets(df: DataFrame, value: str, out: str = "_bucket", cuts: list | None = None):
@@ -37,22 +49,15 @@ def value_buckets(df: DataFrame, value: str, out: str = "_bucket", cuts: list |
     ).transform(df)
 
 
-def running_totals(
+def bucketed_totals(
     df: DataFrame, keys: list[str], value: str, measures: list[str]
 ) -> DataFrame:
-    """One row per (keys, distinct value) with each measure's sum ``m``, the
-    running sum up to and including the value ``cum_m`` and the total ``total_m``.
-
-    Equal values are merged before anything is ordered, so a value shared by a
-    third of the rows is one row here.
-    """
-    bucketed = value_buckets(df, value)
-    merged = bucketed.groupBy(*keys, "_bucket", value).agg(
-        *[F.sum(m).alias(m) for m in measures]
-    )
-    per_bucket = bucketed.groupBy(*keys, "_bucket").agg(
-        *[F.sum(m).alias(m) for m in measures]
+    """``running_totals`` with the order-preserving ``_bucket`` of each value."""
+    merged = materialize(
+        df.groupBy(*keys, value).agg(*[F.sum(m).alias(m) for m in measures]), "values"
     )
+    merged = value_buckets(merged, value)
+    per_bucket = merged.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
     group = [F.col(k) for k in keys] or [F.lit(0)]
     along = Window.partitionBy(*group).orderBy("_bucket")
     whole = Window.partitionBy(*group)
@@ -63,21 +68,38 @@ def running_totals(
         *[F.sum(m).over(whole).alias(f"total_{m}") for m in measures],
     )
     inner = Window.partitionBy(*keys, "_bucket").orderBy(value)
-    return merged.join(offsets, [*keys, "_bucket"]).select(
+    return join_groups(merged, offsets, [*keys, "_bucket"]).select(
         *keys,
         value,
+        "_bucket",
         *measures,
         *[(F.col(f"_before_{m}") + F.sum(m).over(inner)).alias(f"cum_{m}") for m in measures],
         *[f"total_{m}" for m in measures],
     )
 
 
+def running_totals(
+    df: DataFrame, keys: list[str], value: str, measures: list[str]
+) -> DataFrame:
+    """One row per (keys, distinct value) with each measure's sum ``m``, the
+    running sum up to and including the value ``cum_m`` and the total ``total_m``.
+
+    Equal values are merged and written before anything is ordered: the input is
+    evaluated once, and a value shared by a third of the rows is one row here.
+    """
+    return bucketed_totals(df, keys, value, measures).drop("_bucket")
+
+
 def label_totals(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """Running positives, negatives and rows by ascending score."""
+    """Running positives, negatives and rows by ascending score, the score's
+    ``_bucket``, and how many rows have the label 1 (``ones``) or 0 (``zeros``)."""
     pos = F.coalesce(F.col(label).cast("long"), F.lit(0).cast("long"))
-    slim = df.select(*keys, F.col(score).cast("double").alias("score"), pos.alias("pos"))
-    slim = slim.withColumn("neg", 1 - F.col("pos"))
-    out = running_totals(slim, keys, "score", ["pos", "neg"])
+    known = [F.coalesce((F.col(label) == y).cast("long"), F.lit(0)) for y in (1, 0)]
+    slim = df.select(
+        *keys, F.col(score).cast("double").alias("score"), pos.alias("pos"), (1 - pos).alias("neg"),
+        known[0].alias("ones"), known[1].alias("zeros"),
+    )
+    out = bucketed_totals(slim, keys, "score", ["pos", "neg", "ones", "zeros"])
     return out.withColumn("rows", F.col("pos") + F.col("neg")).withColumn(
         "cum_rows", F.col("cum_pos") + F.col("cum_neg")
     )
@@ -145,9 +167,16 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.5) -
 
 # --- seeded order -----------------------------------------------------------
 
+#: Least bits of a hash bucket; more on clusters with more shuffle partitions.
 HASH_BITS = 12
 
 
+def hash_bits(df: DataFrame) -> int:
+    """Buckets of a sixteenth of a shuffle partition, for each class.  The bits
+    only say where ranks are counted; the ranks are the same for any number."""
+    return max(HASH_BITS, (16 * bucket_count(df) - 1).bit_length())
+
+
 def seeded_hash(ids: list[str], seed: int) -> Column:
     return F.xxhash64(*[F.col(c) for c in ids], F.lit(seed))
 
@@ -158,7 +187,7 @@ def hash_rank(df: DataFrame, keys: list[str], ids: list[str], seed: int) -> Data
     The hash is uniform, so its leading bits are equal-sized buckets.
     """
     hashed = df.withColumn("_hash", seeded_hash(ids, seed)).withColumn(
-        "_bucket", F.shiftright("_hash", 64 - HASH_BITS)
+        "_bucket", F.shiftright("_hash", 64 - hash_bits(df))
     )
     group = [F.col(k) for k in keys] or [F.lit(0)]
     along = Window.partitionBy(*group).orderBy("_bucket")
@@ -168,7 +197,7 @@ def hash_rank(df: DataFrame, keys: list[str], ids: list[str], seed: int) -> Data
     )
     inner = Window.partitionBy(*keys, "_bucket").orderBy("_hash", *ids)
     return (
-        hashed.join(sizes, [*keys, "_bucket"])
+        join_groups(hashed, sizes, [*keys, "_bucket"])
         .withColumn("rank", F.col("_before") + F.row_number().over(inner))
         .drop("_hash", "_bucket", "_before")
     )
@@ -178,10 +207,10 @@ def sample_exact(df: DataFrame, ids: list[str], n: int, seed: int = 42) -> DataF
     """Exactly ``min(n, rows)`` rows; the same seed gives the same rows.
 
     Only hash buckets that can hold a chosen row are shuffled: counts over the
-    2^12 buckets (a fixed-size table, hence the broadcast) tell which.
+    buckets (16 per shuffle partition at most, hence the broadcast) tell which.
     """
     hashed = df.withColumn("_hash", seeded_hash(ids, seed)).withColumn(
-        "_bucket", F.shiftright("_hash", 64 - HASH_BITS)
+        "_bucket", F.shiftright("_hash", 64 - hash_bits(df))
     )
     along = Window.partitionBy(F.lit(0)).orderBy("_bucket")
     sizes = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -248,7 +277,7 @@ def stratified_split(
         .otherwise("train")
     )
     return (
-        ranked.join(sizes, label)
+        join_groups(ranked, sizes, [label])
         .withColumn("split", split)
         .drop("rank", "n_class", "n_test", "n_val")
     )
