@@ -24,13 +24,13 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-# --- a given document-topic table: six coordinates of the vectors as weights ------
+# --- a given document-topic table: the coordinates of the vectors as weights -------
 
-N_TOPICS = 6
+N_TOPICS = 64
 
 
 def doc_topics(spark, d):
-    weight = F.transform(F.slice("embedding", 1, N_TOPICS), lambda x: F.abs(x.cast("double")))
+    weight = F.transform("embedding", lambda x: F.abs(x.cast("double")))
     return table(spark, d, "embeddings").select(
         F.col("vec_id").alias("doc_id"),
         weight.alias("topics"),
@@ -39,13 +39,13 @@ def doc_topics(spark, d):
 
 
 _DOC_TOPICS = """
-dt AS (SELECT vec_id AS doc_id, list_transform(embedding[1:6], lambda x: abs(x::DOUBLE)) AS topics,
+dt AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS topics,
        CAST(label < 2 AS INTEGER) AS label FROM embeddings),
 tr AS (SELECT doc_id, label, CAST(generate_subscripts(topics, 1) - 1 AS INTEGER) AS topic_id,
        unnest(topics) AS weight FROM dt),
 dom AS (SELECT doc_id, label, CAST(list_position(topics, list_max(topics)) - 1 AS INTEGER) AS topic_id
         FROM dt),
-rates AS (SELECT CAST(t AS INTEGER) AS topic_id, r.rate FROM range(6) x(t)
+rates AS (SELECT CAST(t AS INTEGER) AS topic_id, r.rate FROM range(64) x(t)
           LEFT JOIN (SELECT topic_id, avg(label) AS rate FROM dom GROUP BY 1) r ON t = r.topic_id)
 """
 

@@ -14,8 +14,9 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .evaluate import binary_metrics, fold_summary
 from .ranking import hash_rank, stratified_folds
@@ -274,7 +275,8 @@ def feature_importance(model, names: list[str], spark) -> DataFrame:
 
 # --- oversampling -------------------------------------------------------------
 
-SMOTE_BLOCK = 2048
+#: Rows of a bucket, about, and tables of buckets in which neighbours are sought.
+SMOTE_BUCKET, SMOTE_TABLES = 256, 6
 
 
 def smote(
@@ -290,9 +292,12 @@ def smote(
     and one of its nearest minority rows.  A minority of ``skip_ratio`` of the
     majority or more is left alone.
 
-    Rows are ordered along a random direction and cut into blocks of
-    ``SMOTE_BLOCK``; nearest rows are sought inside the block.  Up to one block of
-    minority rows that is the exact neighbourhood; work stays linear beyond it.
+    Neighbours are approximate at any size: in each of ``SMOTE_TABLES`` tables a row
+    falls in the bucket of its signs along random directions from the mean, a bucket
+    above ``SMOTE_BUCKET`` rows is split by a hash of the row, and the nearest of all
+    its buckets' rows count.  Directions, splits, partners and fractions follow from
+    the seed and the row's id, so a retry gives the same points.  A row alone in
+    all its buckets is repeated as it is.
     """
     sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # two classes
     if len(sizes) < 2:
@@ -303,67 +308,67 @@ def smote(
     if n_min / n_max >= skip_ratio or n_min < 2:
         return base
     every, extra = divmod(n_max - n_min, n_min)
-    points = df.where(F.col(label) == minority).select(
-        row_id, vector_to_array(column).alias("_x")
-    )
-    points = hash_rank(points, [], [row_id], seed).withColumn(
-        "_copies", F.lit(every) + (F.col("rank") <= extra).cast("int")
-    )
-    dims = F.sequence(F.lit(1), F.size("_x"))
-    sign = lambda d: (F.pmod(F.xxhash64(d, F.lit(seed)), F.lit(2)) * 2 - 1)
-    place = F.aggregate(
-        F.zip_with("_x", F.transform(dims, sign), lambda x, s: x * s),
-        F.lit(0.0),
-        lambda acc, v: acc + v,
-    )
-    blocks = max(1, -(-n_min // SMOTE_BLOCK))
-    placed = points.withColumn("_place", place)
-    placed = (
-        placed.repartitionByRange(blocks, "_place", row_id)
-        if blocks > 1
-        else placed.repartition(1)
-    ).sortWithinPartitions("_place", row_id)
+    minor = df.where(F.col(label) == minority)
+    mean = minor.select(Summarizer.mean(F.col(column)).alias("m")).first().m.toArray()
+    bits = max(0, (-(-n_min // SMOTE_BUCKET) - 1).bit_length())
+    directions = np.random.default_rng(seed).normal(size=(len(mean), SMOTE_TABLES, bits))
+    points = minor.select(row_id, vector_to_array(column).alias("_x"))
     kind = df.schema[row_id].dataType.simpleString()
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        rows = 0
+    def codes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            held.append(pdf)
-            rows += len(pdf)
-            if rows >= 2 * SMOTE_BLOCK:
-                block = pd.concat(held, ignore_index=True)
-                yield _new_points(block.iloc[:SMOTE_BLOCK], row_id, neighbors, seed)
-                rest = block.iloc[SMOTE_BLOCK:]
-                held, rows = [rest], len(rest)
-        if rows:
-            block = pd.concat(held, ignore_index=True)
-            yield _new_points(block, row_id, neighbors, seed)
-
-    made = placed.select(row_id, "_x", "_copies").mapInPandas(
-        make, f"{row_id} {kind}, _x array<double>"
+            sides = np.tensordot(np.stack(pdf["_x"].to_numpy()) - mean, directions, 1) > 0
+            place = (sides * (1 << np.arange(bits))).sum(axis=2) + (np.arange(SMOTE_TABLES) << bits)
+            yield pdf.assign(_places=list(place.astype(np.int64)))
+
+    placed = points.mapInPandas(codes, f"{row_id} {kind}, _x array<double>, _places array<bigint>").select(
+        row_id, "_x", F.explode("_places").alias("_place")
+    )
+    full = placed.groupBy("_place").agg(F.ceil(F.count(F.lit(1)) / (2 * SMOTE_BUCKET)).alias("_parts"))
+    part = F.pmod(F.xxhash64(row_id, "_place", F.lit(seed)), F.col("_parts"))
+    near_kind = f"{row_id} {kind}, _other {kind}, _d double, _y array<double>"
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _nearest_rows(pdf, row_id, neighbors)
+
+    near = (
+        placed.join(full, "_place").withColumn("_part", part)
+        .groupBy("_place", "_part").applyInPandas(nearest, near_kind)
+        .groupBy(row_id, "_other").agg(F.min("_d").alias("_d"), F.first("_y").alias("_y"))
+    )
+    order = Window.partitionBy(row_id).orderBy("_d", "_other")
+    partners = (
+        near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= neighbors)
+        .groupBy(row_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_y"))), lambda p: p["_y"]).alias("_near"))
     )
-    new = made.select(
-        row_id, F.lit(minority).cast(df.schema[label].dataType).alias(label),
-        array_to_vector("_x").alias(column),
+    copies = hash_rank(points, [], [row_id], seed).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), F.lit(every) + (F.col("rank") <= extra).cast("int")))
+        if every
+        else F.explode(F.when(F.col("rank") <= extra, F.array(F.lit(1))))
+    )
+    drawn = F.xxhash64(row_id, "_copy", F.lit(seed))
+    partner = F.element_at("_near", (F.pmod(drawn, F.size("_near")) + 1).cast("int"))
+    fraction = F.pmod(F.shiftrightunsigned(F.xxhash64(drawn), 11), F.lit(1 << 53)) / float(1 << 53)
+    new = (
+        copies.join(partners, row_id, "left")
+        .withColumn("_y", F.coalesce(partner, F.col("_x")))
+        .withColumn("_f", fraction)
+        .select(
+            row_id, F.lit(minority).cast(df.schema[label].dataType).alias(label),
+            array_to_vector(F.zip_with("_x", "_y", lambda x, y: x + F.col("_f") * (y - x))).alias(column),
+        )
     )
     return base.unionByName(new)
 
 
-def _new_points(block: pd.DataFrame, row_id: str, k: int, seed: int) -> pd.DataFrame:
-    x = np.stack(block["_x"].to_numpy())
+def _nearest_rows(pdf: pd.DataFrame, row_id: str, k: int) -> pd.DataFrame:
+    """The k nearest other rows of each row of one bucket part."""
+    pdf = pdf.sort_values(row_id, kind="stable")
+    ids, x = pdf[row_id].to_numpy(), np.stack(pdf["_x"].to_numpy())
     square = (x * x).sum(axis=1)
-    distance = square[:, None] + square[None, :] - 2 * x @ x.T
+    distance = np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0)
     np.fill_diagonal(distance, np.inf)
     k = min(k, len(x) - 1)
-    if k < 1:
-        near = np.zeros((len(x), 1), dtype=int)
-    else:
-        near = np.argsort(distance, axis=1, kind="stable")[:, :k]
-    copies = block["_copies"].to_numpy()
-    source = np.repeat(np.arange(len(x)), copies)
-    rng = np.random.default_rng([seed, len(block), int(copies.sum())])
-    partner = near[source, rng.integers(0, near.shape[1], len(source))]
-    fraction = rng.random(len(source))[:, None]
-    out = x[source] + fraction * (x[partner] - x[source])
-    return pd.DataFrame({row_id: block[row_id].to_numpy()[source], "_x": list(out)})
+    near = np.argsort(distance, axis=1, kind="stable")[:, :k]
+    one, two = np.repeat(np.arange(len(x)), k), near.ravel()
+    return pd.DataFrame({row_id: ids[one], "_other": ids[two], "_d": distance[one, two], "_y": list(x[two])})

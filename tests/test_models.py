@@ -191,6 +191,22 @@ def test_smote_reaches_parity_inside_the_minority_hull(spark):
     assert tr.smote(half, "label", "row_id").count() == half.count()
 
 
+@pytest.mark.parametrize("n", [300, 3000])
+def test_smote_takes_one_way_at_any_size(spark, n):
+    """Partners come from the same cluster, and a second run gives the same points."""
+    rng = np.random.default_rng(1)
+    centres = 20 * rng.normal(size=(10, 4))
+    rows = [(i, 1, Vectors.dense(centres[i % 10] + rng.normal(size=4))) for i in range(n)]
+    rows += [(n + i, 0, Vectors.dense(rng.normal(size=4))) for i in range(3 * n)]
+    df = spark.createDataFrame(rows, ["row_id", "label", "features"])
+    new = tr.smote(df, "label", "row_id").where("label = 1")
+    points = sorted(tuple(r["features"]) for r in new.collect())
+    assert len(points) == 3 * n
+    gaps = np.linalg.norm(np.array(points)[:, None] - centres[None], axis=2).min(axis=1)
+    assert (gaps < 6).mean() > 0.98
+    assert points == sorted(tuple(r["features"]) for r in tr.smote(df, "label", "row_id").where("label = 1").collect())
+
+
 def test_grid_draws():
     grid = tr.PARAM_GRIDS["logistic_regression"]
     assert tr.grid_size(grid) == 14
