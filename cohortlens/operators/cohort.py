@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import cohort as fc, text as ft
 from ..functions.numeric import round_even
@@ -94,9 +94,14 @@ def join_cohort(
     age: str | None = "anchor_age",
 ) -> DataFrame:
     """Notes with their stay (inner) and subject (left), length of stay and age
-    group.  Null keys match nothing.  Join strategy and the splitting of a hot
-    subject are left to adaptive execution."""
-    out = notes.join(stays, [subject, stay]).join(subjects, subject, "left")
+    group.  Null keys match nothing; a subject that repeats is an error, as it would
+    multiply its notes.  Join strategy and the splitting of a hot subject are left
+    to adaptive execution."""
+    rows = F.count(F.lit(1)).over(Window.partitionBy(subject))
+    repeated = F.raise_error(F.concat(F.lit("repeated subject "), F.col(subject).cast("string")))
+    known = subjects.where(F.col(subject).isNotNull()).withColumn("_rows", rows)
+    known = known.withColumn(subject, F.when(F.col("_rows") == 1, F.col(subject)).otherwise(repeated)).drop("_rows")
+    out = notes.join(stays, [subject, stay]).join(known, subject, "left")
     out = out.withColumn("los_days", fc.length_of_stay(F.col(start), F.col(end)))
     if age and age in out.columns:
         out = out.withColumn("age_group", fc.age_group(F.col(age)))

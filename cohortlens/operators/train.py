@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,6 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .evaluate import binary_metrics, fold_summary
@@ -224,15 +224,18 @@ def tune(
             made = estimator(name, label, point, total, column, seed)
             maps.append({base.getParam(p.name): v for p, v in made.extractParamMap().items()
                          if made.isSet(p)})
-        search = CrossValidator(
-            estimator=base,
-            estimatorParamMaps=maps,
-            evaluator=BinaryClassificationEvaluator(labelCol=label, metricName=metric, numBins=0),
-            numFolds=folds,
-            foldCol="fold",
-            parallelism=parallelism,
-        )
-        scores = search.fit(data).avgMetrics
+        judge = BinaryClassificationEvaluator(labelCol=label, metricName=metric, numBins=0)
+
+        def fold_score(task: tuple[int, int]) -> float:
+            fold, i = task
+            model = base.fit(data.where(F.col("fold") != fold), maps[i])
+            return judge.evaluate(model.transform(data.where(F.col("fold") == fold)))
+
+        # Only folds are fitted: the winner is not fitted again on all rows.
+        tasks = [(fold, i) for i in range(len(maps)) for fold in range(folds)]
+        with ThreadPool(parallelism) as pool:
+            found = pool.map(fold_score, tasks)
+        scores = [sum(found[i * folds : (i + 1) * folds]) / folds for i in range(len(maps))]
     finally:
         data.unpersist()
     best = max(range(len(scores)), key=lambda i: scores[i])

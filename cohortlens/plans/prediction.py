@@ -68,7 +68,7 @@ def prediction_grid(
                 )
                 data = sel.apply_selection(data, out["indices"], names=names)
                 names, selected[kind] = out["names"], out
-            except Exception as error:  # the unreduced set is used instead
+            except (KeyError, TypeError, ValueError) as error:  # bad settings: all features are used
                 log.warning("selection failed on %s: %s", kind, error)
         data = data.persist()
         tables[kind], names_of[kind] = data, names

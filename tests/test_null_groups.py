@@ -39,3 +39,12 @@ def test_splits_and_folds(spark):
     assert {r.y: r["count"] for r in split.where("split = 'test'").groupBy("y").count().collect()} == {None: 20, 1: 20, 2: 20}
     folds = ranking.stratified_folds(table, "y", ["id"], 5).groupBy("y", "fold").count().collect()
     assert len(folds) == 15 and {r["count"] for r in folds} == {20}
+
+
+def test_repeated_subject_is_an_error(spark):
+    notes = spark.createDataFrame([(1, 1, "a")], "subject_id int, hadm_id int, text string")
+    stays = spark.sql("SELECT 1 AS subject_id, 1 AS hadm_id, timestamp'2020-01-01' AS admittime, timestamp'2020-01-03' AS dischtime")
+    subjects = spark.createDataFrame([(1, 50), (None, 60), (None, 70)], "subject_id int, anchor_age int")
+    assert cohort.join_cohort(notes, stays, subjects).first().los_days == 2.0
+    with pytest.raises(Exception, match="repeated subject 1"):
+        cohort.join_cohort(notes, stays, subjects.union(subjects)).collect()
