@@ -56,7 +56,7 @@ class Rule:
 
 def _anchor_rows(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _pieces(whole)):
             key, owner, low, high = rule.anchors(texts_of(batch))
             order = np.lexsort((key, owner))
             same = np.zeros(len(key) + 1, bool)
@@ -78,6 +78,19 @@ def _anchor_rows(rule: Rule):
     return run
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about BATCH_BYTES of text; a longer text is a slice of its own."""
+    start = held = 0
+    for i, text in enumerate(batch.column("text")):
+        size = text.as_buffer().size if text.is_valid else 0
+        if i > start and held + size > BATCH_BYTES:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def _marked(size: int, low: list[int], high: list[int]) -> np.ndarray:
     """Which of ``size`` starts lie in one of the ranges."""
     steps = np.zeros(size + 1, np.int32)
@@ -241,6 +254,8 @@ def repeated_spans(docs: DataFrame, rule: Rule) -> DataFrame:
              F.max("twice").alias("again"))
         .where(~alone).select("key")
     )
+    # Written first: the join then has two plain sides, of which hot keys can be split.
+    shared = sized_broadcast(materialize(shared, "shared"))
     ranges = materialize(
         anchors.join(shared, "key").select("t", "u", "low", "high").distinct()
         .groupBy("t", "u").agg(F.collect_list("low").alias("low"), F.collect_list("high").alias("high")),
