@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, two_hashes
+from ..session import materialize
+from .common import SPACE, sized_broadcast, two_hashes
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -53,6 +54,8 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_length: int = 20
         .where(F.col("n") >= min_docs)
         .drop("n")
     )
+    # Written first: the join then has two plain sides, of which hot keys can be split.
+    often = sized_broadcast(materialize(often, "often"))
     drops = (
         held.join(often, ["g", "h"])
         .where(~F.col("id.doc_id").eqNullSafe(F.col("last")))
