@@ -159,7 +159,7 @@ def numeric_summary(df: DataFrame, column: str) -> DataFrame:
         F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max")
     )
     middle = exact_quantile(df, [], column).select(F.col("quantile").alias("median"))
-    return stats.join(middle, F.lit(True), "left").select("mean", "median", "min", "max")
+    return stats.join(F.broadcast(middle), F.lit(True), "left").select("mean", "median", "min", "max")
 
 
 def age_categories(df: DataFrame) -> DataFrame:

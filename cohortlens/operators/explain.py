@@ -50,7 +50,7 @@ def linear_contributions(
     """``background_mean`` is one row with a vector."""
     side = background_mean.select(vector_to_array(F.col(background_mean.columns[0])).alias("_mean"))
     weight_row = df.sparkSession.createDataFrame([(weights,)], "_w array<double>")
-    side = side.join(weight_row, F.lit(True))
+    side = side.join(F.broadcast(weight_row), F.lit(True))  # one row
     dot = F.aggregate(
         F.zip_with("_w", "_mean", lambda w, m: w * m), F.lit(0.0), lambda acc, v: acc + v
     )

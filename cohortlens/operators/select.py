@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
 from .features import name_vector, vector_names
 from .train import class_weights, linear_model
 
@@ -92,6 +93,7 @@ def mutual_information(
     joint = cells.groupBy("feature_id", bin_no.cast("int").alias("bin"), label).agg(
         F.count(F.lit(1)).alias("n")
     )
+    joint = materialize(joint, "joint")  # features x bins x classes rows, read four times
     by_bin = joint.groupBy("feature_id", "bin").agg(F.sum("n").alias("_nb"))
     by_class = joint.groupBy("feature_id", label).agg(F.sum("n").alias("_nc"))
     total = joint.groupBy("feature_id").agg(F.sum("n").alias("_n"))

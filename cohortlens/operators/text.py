@@ -72,7 +72,7 @@ def vocabulary_summary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
         F.count_distinct("t").alias("vocabulary_size")
     )
     mean = df.agg(F.avg(F.size(tokens)).alias("avg_tokens"))
-    return distinct.join(mean, F.lit(True))
+    return distinct.join(F.broadcast(mean), F.lit(True))  # one row each
 
 
 # --- phrases ----------------------------------------------------------------
@@ -105,13 +105,15 @@ def phrase_scores(
     pairs = exploded(df, [], _pairs(F.col(tokens)), "p").groupBy("p.a", "p.b").agg(
         F.count(F.lit(1)).alias("n_ab")
     )
+    # Read several times below; the tokens are read once for each.
+    words, pairs = materialize(words, "words"), materialize(pairs, "pairs")
     sizes = words.agg(F.count(F.lit(1)).alias("_words"), F.sum("n").alias("_total")).join(
-        pairs.agg(F.count(F.lit(1)).alias("_pairs")), F.lit(True)
+        F.broadcast(pairs.agg(F.count(F.lit(1)).alias("_pairs"))), F.lit(True)
     )
     kept = pairs.where(F.col("n_ab") >= min_count)
     kept = kept.join(words.select(F.col("w").alias("a"), F.col("n").alias("n_a")), "a")
     kept = kept.join(words.select(F.col("w").alias("b"), F.col("n").alias("n_b")), "b")
-    kept = kept.join(sizes, F.lit(True))  # one row
+    kept = kept.join(F.broadcast(sizes), F.lit(True))  # one row
     if scoring == "default":
         score = (
             (F.col("n_ab") - min_count)

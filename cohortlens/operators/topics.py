@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.numeric import ratio, round_even
+from ..session import materialize
 from .ranking import label_totals, rank_sums
 from .text import Vocabulary, exploded
 
@@ -225,7 +226,7 @@ def coherence(
     listed = sorted({r["word"] for r in rows})
     counts = cooccurrence(docs, listed, COHERENCE_WINDOWS[measure], tokens)
     counts = counts.persist()  # a fixed-size table, used three times below
-    total = counts.where(F.col("i") == -1).select(F.col("n").alias("_total"))
+    total = counts.agg(F.max(F.when(F.col("i") == -1, F.col("n"))).alias("_total"))
     single = counts.where(F.col("i") == F.col("j")).select(
         F.col("i").alias("_id"), F.col("n").alias("_n")
     )
@@ -243,7 +244,7 @@ def coherence(
         counts.select("i", "j", F.col("n").alias("nab")),
         (F.col("i") == F.least("a", "b")) & (F.col("j") == F.greatest("a", "b")),
         "left",
-    ).fillna(0, ["nab"]).join(total, F.lit(True))
+    ).fillna(0, ["nab"]).join(F.broadcast(total), F.lit(True))  # one row
     p_ab = F.col("nab") / F.col("_total")
     p_a, p_b = F.col("na") / F.col("_total"), F.col("nb") / F.col("_total")
     possible = (F.col("na") > 0) & (F.col("nb") > 0)
@@ -442,11 +443,13 @@ def class_tfidf(
         .groupBy("topic_id", "word")
         .agg(F.count(F.lit(1)).alias("_tf"))
     )
+    counts = materialize(counts, "topic-words")  # read four times below
     per_topic = counts.groupBy("topic_id").agg(F.sum("_tf").alias("_size"))
     per_word = counts.groupBy("word").agg(F.sum("_tf").alias("_f"))
     mean = per_topic.agg(F.avg("_size").alias("_mean"))
     weighted = (
-        counts.join(per_topic, "topic_id").join(per_word, "word").join(mean, F.lit(True))
+        counts.join(per_topic, "topic_id").join(per_word, "word")
+        .join(F.broadcast(mean), F.lit(True))  # one row
         .select(
             "topic_id",
             "word",

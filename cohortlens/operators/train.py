@@ -66,7 +66,7 @@ def class_weight_table(df: DataFrame, label: str) -> DataFrame:
         F.sum(F.when(F.col(label) == 1, F.col("n_class"))).alias("_pos"),
         F.sum(F.when(F.col(label) == 0, F.col("n_class"))).alias("_neg"),
     )
-    return sizes.join(total, F.lit(True)).select(
+    return sizes.join(F.broadcast(total), F.lit(True)).select(  # one row
         label,
         "n_class",
         (F.col("_n") / (2 * F.col("n_class"))).alias("weight"),
