@@ -22,6 +22,17 @@ def _byte_characters() -> dict[int, str]:
 _CHARACTERS = _byte_characters()
 
 
+class _Packs(dict):
+    """Formats of n little-endian ids."""
+
+    def __missing__(self, n: int) -> str:
+        found = self[n] = f"<{n}I"
+        return found
+
+
+_PACKS = _Packs()
+
+
 class _Words(dict):
     """Ids of parts that follow a space, or that start with a line end."""
 
@@ -43,8 +54,10 @@ class _Words(dict):
             found = self[word[:-1]] + end
         elif word.isalpha() and (word.isascii() or max(word) < "\u0250"):
             raw = word if word.isascii() else word.encode().decode("latin-1").translate(_CHARACTERS)
-            ids = [token.id for token in self.one_match(raw if line else "\u0120" + raw)]
-            found = (self.line_end if line else b"") + struct.pack(f"<{len(ids)}I", *ids)
+            tokens = self.one_match(raw if line else "\u0120" + raw)
+            found = struct.pack(_PACKS[len(tokens)], *[token.id for token in tokens])
+            if line:
+                found = self.line_end + found
         elif word.split() == [word]:
             found = self.line_end + self.ids(word) if line else self.ids(" " + word)
         else:
@@ -66,7 +79,7 @@ class CachedEncoder:
     which bounds a worker at any input size.
     """
 
-    LIMIT = 800_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str) -> None:
         import os

@@ -41,14 +41,16 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
+        ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         zeros, planes, ranks = [], [], []
         for level in range(bits - 1, -1, -1):
-            bit = ((ids >> np.uint32(level)) & np.uint32(1)).astype(bool)
-            padded = np.zeros(-(-len(ids) // BLOCK_BITS) * BLOCK_BITS, bool)
-            padded[: len(ids)] = bit
-            before = np.zeros(len(padded) // BLOCK_BITS + 1, "<u4")
-            np.cumsum(padded.reshape(-1, BLOCK_BITS).sum(1), out=before[1:])
-            planes.append(np.packbits(bit).tobytes())
+            bit = (ids & (1 << level)).astype(bool)
+            packed = np.zeros(-(-len(ids) // BLOCK_BITS) * (BLOCK_BITS // 8), np.uint8)
+            packed[: (len(ids) + 7) // 8] = np.packbits(bit)
+            ones = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK_BITS // 64).sum(1)
+            before = np.zeros(len(ones) + 1, "<u4")
+            np.cumsum(ones, out=before[1:])
+            planes.append(packed[: (len(ids) + 7) // 8].tobytes())
             ranks.append(before.tobytes())
             zeros.append(int(len(ids) - before[-1]))
             ids = np.concatenate([ids[~bit], ids[bit]])
@@ -115,14 +117,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids: undo the partitions from the lowest plane up."""
-        values = np.zeros(self.n, "<u4")
+        kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
+        values = np.zeros(self.n, kind)
         for up, level in enumerate(range(len(self.zeros) - 1, -1, -1)):
-            bit = np.unpackbits(self.planes[level], count=self.n).astype(bool)
-            above = np.empty(self.n, "<u4")
+            bit = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            above = np.empty(self.n, kind)
             above[~bit] = values[: self.zeros[level]]
-            above[bit] = values[self.zeros[level] :] | np.uint32(1 << up)
+            above[bit] = values[self.zeros[level] :] | kind(1 << up)
             values = above
-        return values
+        return values.astype("<u4")
 
 
 def _shards(path: str, end_id: int):
