@@ -18,7 +18,11 @@ BANDS, WIDTH = 32, 5
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _HASHES = Hashes()
 
-SETS = "doc_id bigint, n_shingles bigint, g bigint, h bigint, bands array<bigint>"
+SETS = "doc_id bigint, n_shingles bigint, g bigint, h bigint, bands array<bigint>, low array<tinyint>"
+
+#: Share of equal registers below which a pair that shares a bucket is not checked.
+#: At similarity 0.8 the share of 160 registers is 6 standard deviations above it.
+AGREEING = 0.6
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -89,17 +93,16 @@ def least_size(threshold: int) -> int:
 
 
 def _sketch(words: int, bands: int, width: int, least: int):
-    import xxhash
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(text, words) for text in texts_of(batch)]
             large = [i for i, s in enumerate(sets) if len(s) >= least]
-            banded = bands_of(signatures([sets[i] for i in large], bands * width), bands, width)
+            registers = signatures([sets[i] for i in large], bands * width)
             lists: list = [[]] * len(sets)
-            for i, row in zip(large, banded):
-                lists[i] = row
-            prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
+            lows: list = [[]] * len(sets)
+            for i, row, low in zip(large, bands_of(registers, bands, width), registers.astype(np.int8)):
+                lists[i], lows[i] = row, low
+            prints = _prints(sets)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
@@ -107,18 +110,33 @@ def _sketch(words: int, bands: int, width: int, least: int):
                     pa.array(prints[:, 0]),
                     pa.array(prints[:, 1]),
                     pa.array(lists, pa.list_(pa.int64())),
+                    pa.array(lows, pa.list_(pa.int8())),
                 ],
-                names=["doc_id", "n_shingles", "g", "h", "bands"],
+                names=["doc_id", "n_shingles", "g", "h", "bands", "low"],
             )
 
     return run
 
 
+def _prints(sets: list[np.ndarray]) -> np.ndarray:
+    """128-bit fingerprints of whole sets, as two longs each."""
+    import xxhash
+
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), "<i8").reshape(-1, 2)
+
+
 def _elements(words: int):
+    """The set of each row's text, where it is the one that the row's id names: rows
+    of one doc_id may differ."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(text, words).tobytes() for text in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "elements"])
+            sets = [shingles(text, words) for text in texts_of(batch)]
+            named = np.array([i["g"] for i in batch.column("id").to_pylist()], np.int64) == _prints(sets)[:, 0]
+            found = pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "elements"]
+            )
+            yield found.filter(pa.array(named))
 
     return run
 
@@ -147,10 +165,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, bands:
     Extra columns are ignored.
 
     Equal sets become one class first, so copies meet only in an aggregate.  In each
-    band bucket every class is checked against the smallest one only, and checked
-    links are merged.  A bucket that still holds several components then has the
-    pairs across components checked, and no others.  Sizes that cannot reach the
-    threshold are never paired.  All checks compare full sets.
+    band bucket every class is checked against one of the bucket's, chosen by a hash
+    of class and bucket, so a class meets different ones in its buckets; checked
+    links are merged.  A bucket that still holds several components then has pairs
+    across components checked, and no others: those whose registers agree often
+    enough.  Sizes that cannot reach the threshold are never paired.  All checks
+    compare full sets.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -160,18 +180,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, bands:
     ).withColumn("did", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     classes = materialize(
         sketched.where("n_shingles > 0").groupBy("g", "h").agg(
-            F.min("did").alias("did"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
-        ).select("g", "h", F.struct("did", "g").alias("id"), "n", "bands"),
+            F.min("did").alias("did"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+            F.first("low").alias("low"),
+        ).select("g", "h", F.struct("did", "g").alias("id"), "n", "bands", "low"),
         "classes",
     )
     posted = classes.where(F.col("n") >= least).select("id", "n", F.explode("bands").alias("key"))
-    first = posted.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    drawn = F.struct(F.xxhash64("key", "id"), "id", "n")
+    first = posted.groupBy("key").agg(F.min(drawn).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    # Written first, so that the join has two plain sides, of which hot keys can be split.
+    first = sized_broadcast(materialize(first.drop("c"), "pivots"))
     similar_size = (F.least("n", "m") * 100 >= F.greatest("n", "m") * threshold)
     star = materialize(
         posted.join(first, "key")
         .select(F.col("p.id").alias("a"), F.col("id").alias("b"), "n", F.col("p.n").alias("m"))
         .where((F.col("a") != F.col("b")) & similar_size)
-        .select("a", "b").distinct(),
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
         "stars",
     )
 
@@ -180,39 +204,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, bands:
         ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
         ids = materialize(ids, "ids")
         hashed = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("did"), "text")
-        wanted = sized_broadcast(ids.select("id.did").distinct())
-        sets = hashed.join(wanted, "did").join(
-            classes.join(sized_broadcast(ids), "id").select(F.col("id.did").alias("did"), "id", "g", "h"), "did"
+        sets = hashed.join(sized_broadcast(ids.select("id.did", "id")), "did")
+        kind = "struct<did:bigint,g:bigint>"
+        sets = materialize(
+            sets.select("id", "text").mapInArrow(_elements(words), f"id {kind}, elements binary"), "sets"
         )
-        found = sets.select("id", "text").mapInArrow(_elements(words), "id struct<did:bigint,g:bigint>, elements binary")
-        prints = found
-        sets = materialize(prints, "sets")
         joined = (
             pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
             .select("a", "b", "x", "y")
         )
-        kind = "struct<did:bigint,g:bigint>"
         return materialize(joined.mapInArrow(_verified(threshold), f"a {kind}, b {kind}"), name)
 
     links = checked(star, "links")
     grouped = components(links, "components")
     labelled = posted.join(grouped, "id", "left").withColumn("label", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("u")).where("l <> u").select("key")
+    mixed = sized_broadcast(materialize(mixed, "mixed"))
     open_rows = materialize(labelled.join(mixed, "key").select("key", "id", "n", "label").distinct(), "open")
-    other = open_rows.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"))
+    registers = classes.join(sized_broadcast(materialize(open_rows.select("id").distinct(), "ids")), "id").select("id", "low")
+    open_rows = materialize(open_rows.join(registers, "id"), "open")
+    other = open_rows.select(
+        "key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("low").alias("low_b")
+    )
+    equal = F.aggregate(
+        F.zip_with("low", "low_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x
+    )
     across = (
         open_rows.withColumnRenamed("id", "a")
         .join(other, "key")
-        .where((F.col("label") < F.col("label_b")) & similar_size)
-        .select("a", "b").distinct()
-    )
-    across = materialize(
-        across.join(star, ["a", "b"], "left_anti").join(
-            star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"
-        ),
-        "across",
+        .where((F.col("label") < F.col("label_b")) & similar_size & (equal >= int(AGREEING * bands * width)))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
+    across = materialize(across.join(star, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         more = checked(across, "links")
         if not more.isEmpty():

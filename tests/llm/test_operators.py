@@ -353,6 +353,14 @@ def test_near_duplicate_chain(spark):
     assert sorted([tuple(r) for r in superminhash.near_duplicates(df, 2).collect()], key=str) == linked(table, 2)
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    """Links follow each row's own text, although ids repeat."""
+    one, two = prose(70, 60), prose(71, 60)
+    table = [(1, one), (1, two), (2, one + " more"), (3, two + " more"), (4, prose(72, 60))]
+    df = spark.createDataFrame(table, "doc_id bigint, text string")
+    assert sorted([tuple(r) for r in superminhash.near_duplicates(df, 2).collect()], key=str) == linked(table, 2)
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(i, i + 1) for i in range(60)] + [(r.randint(100, 160), r.randint(100, 160)) for _ in range(40)]
