@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, types as T
 from . import repeats
 from .common import Hashes, mix
 
-#: Rounds of naming.  A round shortens prose by about a quarter; windows that hold
-#: no symbol of the last round use one of an earlier round.
-ROUNDS = 6
+#: Rounds of naming.  A round shortens prose by about a quarter.
+ROUNDS = 7
+
+#: Neighbouring symbols that make an anchor.  Windows that do not hold so many of
+#: the last round use those of an earlier round; words are the earliest.
+NEIGHBOURS = 3
 
 _HASHES = Hashes()
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -88,8 +91,11 @@ def levels(names: np.ndarray, ends: np.ndarray) -> list[Level]:
     bound = np.zeros(len(names), bool)
     bound[ends] = True
     found = [Level(names, at, at + 1, bound)]
-    for turn in range(ROUNDS):
-        found.append(found[-1].runs().pairs(turn))
+    # Runs are named in the first round; in later ones equal neighbours stay apart,
+    # as looking for runs would make every symbol depend on both of its neighbours.
+    found.append(found[0].runs().pairs(0))
+    for turn in range(1, ROUNDS):
+        found.append(found[-1].pairs(turn))
     return found
 
 
@@ -102,8 +108,8 @@ def _starts(starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarr
 
 
 def anchors(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window the first symbol of the highest level that depends on its
-    words only, and the runs of windows that have the same one."""
+    """For each window the first NEIGHBOURS symbols in a row, of the highest level at
+    which they depend on its words only, and the runs of windows with the same ones."""
     names, starts, ends = _joined(texts)
     at, owner = _starts(starts, ends, length)
     key = np.zeros(len(at), np.uint64)
@@ -113,11 +119,15 @@ def anchors(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.n
     for level in range(len(found) - 1, -1, -1):
         symbols = found[level]
         first = np.searchsorted(symbols.low, at[todo], "left")
-        clipped = np.minimum(first, len(symbols.name) - 1)
-        fits = (first < len(symbols.name)) & (symbols.high[clipped] <= at[todo] + length)
-        done = todo[fits]
-        key[done] = mix(symbols.name[clipped[fits]] + np.uint64(level))
-        chosen[done] = clipped[fits] * len(found) + level
+        last = first + min(NEIGHBOURS, length) - 1
+        clipped = np.minimum(last, len(symbols.name) - 1)
+        fits = (last < len(symbols.name)) & (symbols.high[clipped] <= at[todo] + length)
+        done, first, last = todo[fits], first[fits], last[fits]
+        name = np.full(len(done), level, np.uint64)
+        for k in range(min(NEIGHBOURS, length)):
+            name = mix(name * _ODD + symbols.name[first + k])
+        key[done] = name
+        chosen[done] = first * len(found) + level
         todo = todo[~fits]
         if not len(todo):
             break

@@ -247,11 +247,10 @@ def repeated_spans(docs: DataFrame, rule: Rule) -> DataFrame:
         "t", "u", "rank", F.coalesce("row.text", F.lit("")).alias("text")
     )
     anchors = materialize(rows.select("t", "u", "text").mapInArrow(_anchor_rows(rule), ANCHORS), "anchors")
-    alone = (F.col("t0") == F.col("t1")) & (F.col("u0") == F.col("u1")) & ~F.col("again")
+    alone = (F.col("t0") == F.col("t1")) & ~F.col("again")
     shared = (
         anchors.groupBy("key")
-        .agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.min("u").alias("u0"), F.max("u").alias("u1"),
-             F.max("twice").alias("again"))
+        .agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("twice").alias("again"))
         .where(~alone).select("key")
     )
     # Written first: the join then has two plain sides, of which hot keys can be split.
