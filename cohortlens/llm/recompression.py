@@ -112,6 +112,9 @@ def anchors(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.n
     which they depend on its words only, and the runs of windows with the same ones."""
     names, starts, ends = _joined(texts)
     at, owner = _starts(starts, ends, length)
+    if not len(at):
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), none, none, none
     key = np.zeros(len(at), np.uint64)
     chosen = np.zeros(len(at), np.int64)
     todo = np.arange(len(at))

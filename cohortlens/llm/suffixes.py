@@ -68,13 +68,13 @@ def anchors(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.n
     raw, starts, ends = _raw(texts)
     none = np.zeros(0, np.int64)
     sample = min(SAMPLE, length)
-    if len(raw) < length:
+    counts = np.maximum(ends - starts - length + 1, 0)
+    if not counts.any():
         return none.view(np.uint64), none, none, none
     names = prefix_names(raw, sample)
     low_bits = np.uint64(max(1, int(len(names)).bit_length()))
     packed = (names >> low_bits << low_bits) | np.arange(len(names), dtype=np.uint64)
     chosen = (_least(packed, length - sample + 1) & ((np.uint64(1) << low_bits) - np.uint64(1))).astype(np.int64)
-    counts = np.maximum(ends - starts - length + 1, 0)
     owner = np.repeat(np.arange(len(starts)), counts)
     at = starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     chosen = chosen[at]

@@ -437,6 +437,26 @@ def test_strings(docs, empty, monkeypatch, size):
     assert suffixes.remove_repeated_strings(empty, size).count() == 0
 
 
+def short_rows() -> list[tuple]:
+    texts = [None, "", " ", "one", *(prose(700 + i, 20) for i in range(12)), prose(700, 20)]
+    return [(i, text, "x", None) for i, text in enumerate(texts)]
+
+
+@pytest.mark.parametrize("apart", [True, False])
+@pytest.mark.parametrize(
+    "operator, whole",
+    [(recompression.remove_repeated_passages, lambda t: " ".join(t.split())), (suffixes.remove_repeated_strings, str)],
+)
+def test_texts_without_a_window(spark, operator, whole, apart):
+    """Short, empty and null texts only, one row per partition or all in one: nothing goes."""
+    ship_package(spark)
+    table = short_rows()
+    assert max(len(r[1] or "") for r in table) < 400 < sum(len(r[1] or "") for r in table)
+    found = operator(spark.createDataFrame(spark.sparkContext.parallelize(table, len(table) if apart else 1), SCHEMA))
+    got = {r.doc_id: (r.text, r.n_removed) for r in found.collect()}
+    assert got == {i: (whole(t or ""), 0) for i, t, *_ in table}
+
+
 def test_equal_windows_have_equal_anchors():
     """Anchors follow from a window's words, whatever stands around it."""
     r = random.Random(4)
