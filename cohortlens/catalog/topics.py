@@ -364,14 +364,14 @@ def x11(spark, d):
 
 def _vectors(spark, d):
     docs = materialize(documents(spark, d).select("doc_id", "tokens"), "tokens")
-    vocab = ot.fit_vocabulary(docs, F.col("tokens"), 5, 0.95, 2000, rank_by="df")
+    vocab = ot.fit_vocabulary(docs, F.col("tokens"), 5, 0.95, 100_000, rank_by="df")
     return docs, vocab, ot.count_vectors(docs, "tokens", vocab)
 
 
 @query("x5_lda_topic_words")
 def x5(spark, d):
     _, vocab, vectors = _vectors(spark, d)
-    model = tp.train_lda(vectors, 4, max_iter=5, subsampling=0.2)
+    model = tp.train_lda(vectors.persist(), 4)
     return tp.topic_words(model, vocab, 10)
 
 
@@ -381,7 +381,7 @@ def x5(spark, d):
 )
 def x7(spark, d):
     _, _, vectors = _vectors(spark, d)
-    model = tp.train_lda(vectors, 3, max_iter=5, subsampling=0.2)
+    model = tp.train_lda(vectors.persist(), 3)
     total = F.aggregate("topics", F.lit(0.0), lambda acc, v: acc + v)
     # A document without a known term has no distribution.
     flat = F.abs(total - 1) < 1e-6
@@ -394,19 +394,14 @@ def x7(spark, d):
 @query("x4_optimal_topics")
 def x4(spark, d):
     docs, vocab, vectors = _vectors(spark, d)
-    best, _, scores = tp.optimal_topics(
-        vectors.persist(), docs, vocab, [2, 4], "u_mass", max_iter=3, subsampling=0.2
-    )
+    best, _, scores = tp.optimal_topics(vectors.persist(), docs, vocab)
     return scores.withColumn("chosen", F.col("k") == best)
 
 
 @query("x12_topic_study")
 def x12(spark, d):
     docs = materialize(documents(spark, d).select("doc_id", "tokens"), "tokens")
-    study = topic_study(
-        docs, keywords(spark, d), [3], measure="u_mass", max_terms=2000, max_iter=3, subsampling=0.2
-    )
-    return study["table"]
+    return topic_study(docs, keywords(spark, d))["table"]
 
 
 # --- cluster topics ------------------------------------------------------------------
@@ -417,7 +412,7 @@ def x9(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     vectors = vectors.persist()
     size = tp.min_topic_size(vectors.count(), 20)
-    return tp.topic_sizes(tp.cluster_topics(vectors, 8, size, max_iter=5))
+    return tp.topic_sizes(tp.cluster_topics(vectors, min_size=size))
 
 
 @query(

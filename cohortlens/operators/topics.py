@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import erfc, sqrt
+from math import ceil, erfc, sqrt
 
 import numpy as np
 import pandas as pd
@@ -24,17 +24,19 @@ COHERENCE_WINDOWS = {"u_mass": None, "c_v": 110, "c_uci": 10, "c_npmi": 10}
 def train_lda(
     vectors: DataFrame,
     k: int,
-    max_iter: int = 100,
+    passes: float = 15,
     subsampling: float = 0.05,
     doc_concentration: list[float] | None = None,
     topic_concentration: float | None = None,
     column: str = "counts",
     seed: int = 42,
 ):
-    """Online variational LDA.  The document prior is learned unless given."""
+    """Online variational LDA.  An iteration samples a share of ``subsampling`` of the
+    documents; there are as many as ``passes`` over all of them take.  The document
+    prior is learned unless given."""
     lda = LDA(
         k=k,
-        maxIter=max_iter,
+        maxIter=ceil(passes / subsampling),
         optimizer="online",
         subsamplingRate=subsampling,
         optimizeDocConcentration=doc_concentration is None,
