@@ -188,17 +188,9 @@ def m2(spark, d):
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-# Boosting rounds run one after the other, each a few jobs: 200 of them take minutes
-# on the smallest table.  These queries fit fewer; all other settings are the defaults.
-SMALL = {
-    "gbt_depthwise": {"maxIter": 5, "maxDepth": 3},
-    "gbt_leafcapped": {"maxIter": 5, "maxDepth": 3},
-}
-
-
 def fitted(spark, d, name):
     data = split_vectors(spark, d)
-    model = tr.train_model(name, part(data, "train"), "label", part(data, "val"), SMALL.get(name))
+    model = tr.train_model(name, part(data, "train"), "label", part(data, "val"))
     return data, model
 
 
@@ -269,10 +261,8 @@ def _grid(spark, d):
         {"embeddings": rows.select("row_id", "features"), "structured": _structured(spark, d)},
         labels,
         row_id="row_id",
-        models=["logistic_regression", "random_forest"],
         feature_types=["embeddings", "structured", "not_there"],
         selection={"method": "univariate", "k": 20, "apply_to": ["embeddings"]},
-        params=SMALL,
     )
 
 

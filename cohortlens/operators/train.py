@@ -122,7 +122,7 @@ def estimator(
         }
         return LogisticRegression(**common, **{**settings, **given})
     if name == "random_forest":
-        settings = {"numTrees": 200, "minInstancesPerNode": 5, "maxDepth": 10, "seed": seed}
+        settings = {"numTrees": 200, "minInstancesPerNode": 5, "maxDepth": 30, "seed": seed}
         return RandomForestClassifier(**common, **{**settings, **given})
     if name in ("gbt_depthwise", "gbt_leafcapped"):
         settings = {
