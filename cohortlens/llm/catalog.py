@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    bpe, lines, packing, permutation_index, quality, recompression, suffixes, superminhash, topk, wavelet,
+    bpe, conversations, lines, merkle, packing, permutation_index, quality, recompression, sharding, suffixes,
+    superminhash, topk, wavelet,
 )
+from .positions import coded
+from .structure_sql import MANIFEST_SQL, REPAIR_SQL, SHARD_SQL, SHARDS
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -144,3 +147,51 @@ def _passages(spark, d):
 def _strings(spark, d):
     kept = suffixes.remove_repeated_strings(_table(spark, d, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_lr_repair", REPAIR_SQL)
+def _conversations(spark, d):
+    rows = _table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    found, turns = conversations.repair(conversations.damaged(rows))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    every = rows.select("conv_id", coded(F.col("conv_id")).alias("conv")).distinct()
+    return (
+        every.join(found.withColumn("conv", coded(F.col("conv_id"))).drop("conv_id"), "conv", "left")
+        .join(conversations.digests(turns), "conv", "left")
+        .select(
+            "conv_id",
+            *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+            F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+        )
+    )
+
+
+@query("op12_rendezvous_shards", SHARD_SQL)
+def _shards(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    rows = _table(spark, d, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    placed = sharding.assign_shards(rows, ["doc_id"], [1.0] * SHARDS, [1.0])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def _manifest(spark, d):
+    docs = _table(spark, d, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    drawn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = merkle.leaf_hash(*[F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields])
+    proved = merkle.manifest(
+        docs, merkle.leaf_hash(*[F.col(c) for c in fields]), "lang", "doc_id",
+        {"doc_id": F.col("doc_id"), "changed": F.when(drawn, changed)},
+    )
+    folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("proof"))
+    return proved.select(
+        "doc_id", "leaf", "subroot", "root",
+        F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
