@@ -151,7 +151,7 @@ MANIFEST_SQL = f"""
 WITH RECURSIVE
 leaves AS (
   SELECT doc_id, lang, {_leaf('n_chars')} AS leaf,
-         CASE WHEN {crc32('doc_id::VARCHAR')} % 7 = 0 THEN {_leaf('(n_chars + 1)')} END AS changed
+         CASE WHEN doc_id IS NOT NULL AND {crc32('doc_id::VARCHAR')} % 7 = 0 THEN {_leaf('(n_chars + 1)')} END AS changed
   FROM documents),
 ordered AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
