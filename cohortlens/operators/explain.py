@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -14,10 +13,12 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.bands import direction
 from ..functions.numeric import let
+from ..session import scratch_path, ship_package
+from .boosting import BoostedTrees
 
 
 def contributions(
@@ -34,7 +35,7 @@ def contributions(
         return linear_contributions(
             df, model.coefficients.toArray().tolist(), model.intercept, mean, row_id, column
         )
-    if isinstance(model, (RandomForestClassificationModel, GBTClassificationModel)):
+    if isinstance(model, (RandomForestClassificationModel, GBTClassificationModel, BoostedTrees)):
         return tree_contributions(model, df, row_id, column)
     raise TypeError(f"no contributions for {type(model).__name__}")
 
@@ -70,100 +71,122 @@ def linear_contributions(
 # --- trees --------------------------------------------------------------------
 
 
-def _leaves(tree, value_of, weight: float) -> list[tuple]:
-    """Per leaf (value, features, low, high, share): per feature on the path the
-    interval low < x <= high and the share of training weight that follows it."""
-    found = []
-    stack = [(tree._java_obj.rootNode() if hasattr(tree, "_java_obj") else tree.rootNode(), {})]
-    while stack:
-        node, path = stack.pop()
-        if node.subtreeDepth() == 0:
-            feats = sorted(path)
-            found.append(
-                (
-                    weight * value_of(node),
-                    feats,
-                    [path[f][0] for f in feats],
-                    [path[f][1] for f in feats],
-                    [path[f][2] for f in feats],
-                )
-            )
-            continue
-        split = node.split()
-        if not hasattr(split, "threshold"):
-            raise TypeError("categorical splits are not supported")
-        feature, cut = split.featureIndex(), split.threshold()
-        total = node.impurityStats().count()
-        for child, is_left in ((node.leftChild(), True), (node.rightChild(), False)):
-            low, high, share = path.get(feature, (-np.inf, np.inf, 1.0))
-            low, high = (low, min(high, cut)) if is_left else (max(low, cut), high)
-            part = child.impurityStats().count() / total
-            stack.append((child, {**path, feature: (low, high, share * part)}))
-    return found
-
-
-def tree_leaves(model) -> list[tuple]:
-    """The leaves of all trees; size is bounded by the model, not the data."""
-    if isinstance(model, RandomForestClassificationModel):
-        scale = 1.0 / model.getNumTrees
-
-        def positive_share(node):
-            stats = node.impurityStats().stats()
-            return stats[1] / sum(stats)
-
-        return [leaf for t in model.trees for leaf in _leaves(t, positive_share, scale)]
-    return [
-        leaf
-        for t, w in zip(model.trees, model.treeWeights)
-        for leaf in _leaves(t, lambda node: node.prediction(), w)
+def flat_trees(model) -> list[dict]:
+    """Every tree as flat arrays: feature, threshold (x <= threshold goes left), left and
+    right (-1 at a leaf), value, cover (training weight).  As large as the model; Spark's
+    own models are read from their saved form, all nodes in one job."""
+    if isinstance(model, BoostedTrees):
+        return [{**t, "right": [n + 1 if n >= 0 else -1 for n in t["left"]]} for t in model.flat()]
+    spark = SparkSession.active()
+    path = scratch_path(spark, "trees")
+    model.write().overwrite().save(path)
+    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()
+    forest = isinstance(model, RandomForestClassificationModel)
+    weights = [1.0 / model.getNumTrees] * model.getNumTrees if forest else list(model.treeWeights)
+    trees: list[dict] = [
+        {"feature": [], "threshold": [], "left": [], "right": [], "value": [], "cover": []} for _ in weights
     ]
-
-
-def leaf_contributions(x: np.ndarray, leaves: list[tuple]) -> np.ndarray:
-    """Shapley values of a sum of leaf indicators, rows vectorized.
-
-    A leaf with D path features is worth ``value`` times a product of per-feature
-    factors: the indicator when the feature is known, the training share when not.
-    The subset sum over known features is read off the polynomial
-    prod_j (share_j + indicator_j t).
+    for row in rows:
+        tree, stats = trees[row["treeID"]], row["impurityStats"]
+        split = row["split"]
+        if split["numCategories"] not in (-1, None):
+            raise TypeError("categorical splits are not supported")
+        cuts = split["leftCategoriesOrThreshold"]
+        tree["feature"].append(max(split["featureIndex"], 0))
+        tree["threshold"].append(cuts[0] if cuts else 0.0)
+        tree["left"].append(row["leftChild"])
+        tree["right"].append(row["rightChild"])
+        tree["cover"].append(sum(stats) if forest else stats[0])
+        value = stats[1] / sum(stats) if forest else row["prediction"]
+        tree["value"].append(weights[row["treeID"]] * value)
+    return trees
+
+
+def expected_value(trees: list[dict]) -> float:
+    """The trees' output averaged over the training weights."""
+    total = 0.0
+    for tree in trees:
+        waiting = [(0, 1.0)]
+        while waiting:
+            node, share = waiting.pop()
+            if tree["left"][node] < 0:
+                total += share * tree["value"][node]
+            else:
+                for child in (tree["left"][node], tree["right"][node]):
+                    waiting.append((child, share * tree["cover"][child] / tree["cover"][node]))
+    return total
+
+
+def path_contributions(x: np.ndarray, trees: list[dict]) -> np.ndarray:
+    """Shapley values of sums of trees, rows vectorized, a few operations per node.
+
+    On the way to a leaf a feature counts 1 or 0 where it is known (the row follows the
+    path or not) and the training share where it is not.  The weighted sum over all
+    subsets of known features is the integral over t in (0, 1) of the product of
+    known x t + share x (1 - t), which Gauss's rule with half as many points as features
+    gives exactly.  Products are carried down the tree, so leaves share their prefixes;
+    sums over the leaves below are carried up, and an edge's feature is divided out there.
     """
-    out = np.zeros_like(x)
-    for value, feats, low, high, share in leaves:
-        d = len(feats)
-        if d == 0:
+    out = np.zeros((x.shape[1], len(x)))
+    for tree in trees:
+        depth = _depth(tree)
+        if depth == 0:
             continue
-        inside = ((x[:, feats] > low) & (x[:, feats] <= high)).astype(float)
-        poly = np.zeros((len(x), d + 1))
-        poly[:, 0] = 1.0
-        for j in range(d):
-            shifted = poly[:, :-1] * inside[:, j : j + 1]
-            poly *= share[j]
-            poly[:, 1:] += shifted
-        size_weight = [factorial(s) * factorial(d - 1 - s) / factorial(d) for s in range(d)]
-        for j in range(d):
-            # Divide out factor j: by (share + t) from the top where the indicator
-            # is 1, by share where it is 0.
-            known = inside[:, j] == 1
-            total = np.zeros(len(x))
-            carry = np.zeros(len(x))
-            for s in range(d - 1, -1, -1):
-                carry = np.where(known, poly[:, s + 1] - share[j] * carry, poly[:, s] / share[j])
-                total += size_weight[s] * carry
-            out[:, feats[j]] += value * (inside[:, j] - share[j]) * total
-    return out
+        points, weights = np.polynomial.legendre.leggauss(depth // 2 + 1)
+        points, weights = ((points + 1) / 2)[:, None], (weights / 2)[:, None]
+        _walk(x, tree, 0, np.ones((len(points), len(x))), {}, points, weights, out)
+    return out.T
+
+
+def _depth(tree: dict) -> int:
+    deepest, waiting = 0, [(0, 0)]
+    while waiting:
+        node, level = waiting.pop()
+        deepest = max(deepest, level)
+        if tree["left"][node] >= 0:
+            waiting += [(tree["left"][node], level + 1), (tree["right"][node], level + 1)]
+    return deepest
+
+
+def _walk(x, tree, node, product, known, points, weights, out) -> np.ndarray:
+    """Sum over the leaves below ``node`` of value x product, per point and row.
+    ``known``: per feature on the way (follows, share)."""
+    left, right = tree["left"][node], tree["right"][node]
+    if left < 0:
+        return tree["value"][node] * product
+    feature, total = tree["feature"][node], None
+    goes_left = x[:, feature] <= tree["threshold"][node]
+    before = known.get(feature)
+    follows, share = before or (1.0, 1.0)
+    old = follows * points + share * (1 - points) if before else 1.0
+    for child, way in ((left, goes_left), (right, ~goes_left)):
+        now = (follows * way, share * tree["cover"][child] / tree["cover"][node])
+        factor = now[0] * points + now[1] * (1 - points)
+        below = _walk(x, tree, child, product * (factor / old), {**known, feature: now}, points, weights, out)
+        out[feature] += (now[0] - now[1]) * (weights * (below / factor)).sum(axis=0)
+        total = below if total is None else total + below
+    if before:  # the feature's edge above counted the same leaves with its own share
+        out[feature] -= (follows - share) * (weights * (total / old)).sum(axis=0)
+    return total
+
+
+#: Rows explained at a time: bounds what a batch holds per level of a tree.
+EXPLAIN_ROWS = 1024
 
 
 def tree_contributions(model, df: DataFrame, row_id: str, column: str = "features") -> DataFrame:
-    leaves = tree_leaves(model)
-    base = float(sum(value * np.prod(share) for value, _, _, _, share in leaves))
+    ship_package(df.sparkSession)
+    trees = flat_trees(model)
+    base = expected_value(trees)
     kind = df.schema[row_id].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, 0))
-            pdf["contributions"] = list(leaf_contributions(x, leaves))
-            pdf["base"] = base
-            yield pdf
+        for whole in batches:
+            for start in range(0, len(whole), EXPLAIN_ROWS):
+                pdf = whole.iloc[start : start + EXPLAIN_ROWS].copy()
+                pdf["contributions"] = list(path_contributions(np.stack(pdf["x"].to_numpy()), trees))
+                pdf["base"] = base
+                yield pdf
 
     return df.select(row_id, vector_to_array(column).alias("x")).mapInPandas(
         run, f"{row_id} {kind}, x array<double>, contributions array<double>, base double"

@@ -8,8 +8,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
+from . import linear
 from .features import name_vector, vector_names
-from .train import class_weights, linear_model
+from .train import WEIGHT, class_weights, linear_model
 
 
 def feature_moments(df: DataFrame, keys: list[str], column: str = "features") -> DataFrame:
@@ -132,8 +133,12 @@ def l1_selection(
     """Features with a non-zero L1 weight; none left gives the largest ones of a
     nearly unpenalized fit."""
     weighted = class_weights(df, label)
-    model = linear_model(weighted, label, C=C, l1=True, column=column, max_iter=max_iter)
-    weights = model.coefficients.toArray()
+    if len(vector_names(df, column)) <= linear.WIDEST:
+        with linear.SharedRows(weighted, label, [WEIGHT], column) as rows:
+            weights = rows.fit([linear.LinearFit(WEIGHT, C, l1=True)], most=max_iter)[0][:-1]
+    else:
+        model = linear_model(weighted, label, C=C, l1=True, column=column, max_iter=max_iter)
+        weights = model.coefficients.toArray()
     kept = [i for i, w in enumerate(weights) if abs(w) > 1e-8]
     if kept:
         return kept
@@ -149,12 +154,24 @@ def rfe_selection(
     column: str = "features",
     max_iter: int = 500,
 ) -> list[int]:
-    """Refit and drop the weakest ``step`` share of all features until ``n`` are left."""
+    """Refit and drop the weakest ``step`` share of all features until ``n`` are left.
+    The rows are laid out once; each refit starts from the weights before it."""
     names = vector_names(df, column)
     alive = list(range(len(names)))
     target = min(n_features_to_select, len(alive))
     drop = max(1, int(step * len(alive)))
-    weighted = class_weights(df.select(label, column), label).persist()
+    weighted = class_weights(df.select(label, column), label)
+    if len(names) <= linear.WIDEST:
+        start = None
+        with linear.SharedRows(weighted, label, [WEIGHT], column) as rows:
+            while len(alive) > target:
+                fit = linear.LinearFit(WEIGHT, features=alive, start=start)
+                start = rows.fit([fit], most=max_iter)[0]
+                ranked = sorted(alive, key=lambda f: (abs(start[f]), f))
+                gone = set(ranked[: min(drop, len(alive) - target)])
+                alive = [f for f in alive if f not in gone]
+        return alive
+    weighted = weighted.persist()
     try:
         while len(alive) > target:
             part = apply_selection(weighted, alive, column, names)

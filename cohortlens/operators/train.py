@@ -8,16 +8,13 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
+from . import boosting as bo, linear
 from .evaluate import binary_metrics, fold_summary
 from .ranking import hash_rank, stratified_folds
 
@@ -37,24 +34,33 @@ PARAM_GRIDS: dict[str, dict[str, list]] = {
         "featureSubsetStrategy": ["sqrt", "log2"],
     },
     "gbt_depthwise": {
-        "maxIter": [100, 200, 400],
-        "maxDepth": [3, 5, 7, 10],
-        "stepSize": [0.01, 0.05, 0.1, 0.2],
-        "subsamplingRate": [0.6, 0.8, 1.0],
-        "featureSubsetStrategy": ["0.6", "0.8", "1.0"],
-        "minInstancesPerNode": [1, 3, 5],
-        "minInfoGain": [0.0, 0.1, 0.3],
+        "rounds": [100, 200, 400],
+        "depth": [3, 5, 7, 10],
+        "rate": [0.01, 0.05, 0.1, 0.2],
+        "row_share": [0.6, 0.8, 1.0],
+        "column_share": [0.6, 0.8, 1.0],
+        "min_hessian": [1, 3, 5],
+        "min_gain": [0.0, 0.1, 0.3],
     },
     "gbt_leafcapped": {
-        "maxIter": [100, 200, 400],
-        "maxDepth": [4, 5, 6],
-        "stepSize": [0.01, 0.05, 0.1, 0.2],
-        "subsamplingRate": [0.6, 0.8, 1.0],
-        "featureSubsetStrategy": ["0.6", "0.8", "1.0"],
-        "minInstancesPerNode": [5, 10, 20],
+        "rounds": [100, 200, 400],
+        "depth": [3, 5, 10, None],
+        "rate": [0.01, 0.05, 0.1, 0.2],
+        "leaves": [15, 31, 63],
+        "row_share": [0.6, 0.8, 1.0],
+        "column_share": [0.6, 0.8, 1.0],
+        "min_rows": [5, 10, 20],
     },
 }
 
+# The boosted presets.  One grows level by level to depth 6; the other
+# grows the best leaf next up to 31 leaves and stops after 50 rounds without gain.
+BOOSTED = {
+    "gbt_depthwise": {"rounds": 200, "rate": 0.1, "depth": 6, "leaves": None, "l2": 1.0, "min_hessian": 1.0, "min_rows": 1},
+    "gbt_leafcapped": {"rounds": 200, "rate": 0.1, "depth": None, "leaves": 31, "l2": 0.0, "min_hessian": 1e-3, "min_rows": 20},
+}
+PATIENCE = 50
+
 WEIGHT = "_weight"
 
 
@@ -124,19 +130,32 @@ def estimator(
     if name == "random_forest":
         settings = {"numTrees": 200, "minInstancesPerNode": 5, "maxDepth": 30, "seed": seed}
         return RandomForestClassifier(**common, **{**settings, **given})
-    if name in ("gbt_depthwise", "gbt_leafcapped"):
-        settings = {
-            "maxIter": 200,
-            "maxDepth": 6 if name == "gbt_depthwise" else 5,
-            "stepSize": 0.1,
-            "subsamplingRate": 0.8,
-            "featureSubsetStrategy": "0.8",
-            "seed": seed,
-        }
-        return GBTClassifier(**common, **{**settings, **given})
     raise ValueError(f"unknown model {name!r}")
 
 
+def boosted_settings(name: str, params: dict | None = None, held: bool = False, seed: int = 42) -> bo.Settings:
+    """The preset with ``params`` on top; the leaf-capped one stops early on held rows."""
+    stop = {"patience": PATIENCE} if held and name == "gbt_leafcapped" else {}
+    return bo.Settings(**{**BOOSTED[name], **stop, "seed": seed, **(params or {})})
+
+
+def class_sizes(df: DataFrame, label: str, by: list[str] | None = None) -> dict:
+    """Rows per (``by`` values, label): a few numbers."""
+    rows = df.groupBy(*(by or []), label).count().collect()
+    return {tuple(r[:-1]): r["count"] for r in rows}
+
+
+def positive_weight(sizes: dict[int, int]) -> float:
+    """Negatives per positive, the weight of a positive row in boosting."""
+    return sizes.get(0, 0) / sizes[1] if sizes.get(1) else 1.0
+
+
+def balanced_weight(sizes: dict[int, int], label: Column) -> Column:
+    """n / (2 n_c) of the row's class."""
+    n = sum(sizes.values())
+    return F.when(label == 1, n / (2 * max(1, sizes.get(1, 0)))).otherwise(n / (2 * max(1, sizes.get(0, 0))))
+
+
 def train_model(
     name: str,
     train: DataFrame,
@@ -152,13 +171,20 @@ def train_model(
     stop early when validation rows are given."""
     if use_smote:
         train = smote(train, label, row_id or "row_id", column, seed=seed)
-    data = class_weights(train.select(label, column), label)
-    if name == "gbt_leafcapped" and val is not None:
-        held = val.select(label, column).withColumn(WEIGHT, F.lit(1.0))
-        data = data.withColumn("_held", F.lit(False)).unionByName(
-            held.withColumn("_held", F.lit(True))
+    if name in BOOSTED:
+        ids = [row_id] if row_id else []
+        ratio = positive_weight({k[0]: n for k, n in class_sizes(train, label).items()})
+        data = train.select(*ids, label, column).withColumns(
+            {WEIGHT: F.when(F.col(label) == 1, ratio).otherwise(1.0), "_held": F.lit(0)}
         )
-        params = {"validationIndicatorCol": "_held", "validationTol": 0.01, **(params or {})}
+        held = val is not None
+        if held:
+            rest = val.select(*ids, label, column).withColumns({WEIGHT: F.lit(0.0), "_held": F.lit(1)})
+            data = data.unionByName(rest)
+        settings = boosted_settings(name, params, held, seed)
+        fit = bo.Fit(settings, WEIGHT, "_held" if settings.patience else None)
+        return bo.fit_many([data], label, ids or None, [fit], column)[0]
+    data = class_weights(train.select(label, column), label)
     total = train.count() if name == "logistic_regression" else 1.0
     return estimator(name, label, params, float(total), column, seed).fit(data)
 
@@ -201,47 +227,118 @@ def tune(
     ids: list[str],
     n_iter: int = 30,
     folds: int = 5,
-    metric: str = "areaUnderROC",
+    metric: str = "roc_auc",
     column: str = "features",
     grid: dict | None = None,
     parallelism: int = 4,
     seed: int = 42,
 ) -> tuple[dict, float]:
-    """Random search with stratified folds; returns settings and mean score."""
+    """Random search with stratified folds; returns settings and mean score.  All
+    settings and folds are fitted together and scored in one pass."""
     grid = grid or PARAM_GRIDS.get(name)
     if grid is None:
         return {}, 0.0
     slim = stratified_folds(train.select(*ids, label), label, ids, folds, seed)
-    data = class_weights(
-        train.select(*ids, label, column).join(slim.select(*ids, "fold"), ids), label
-    ).persist()
+    data = train.select(*ids, label, column).join(slim.select(*ids, "fold"), ids).persist()
     try:
-        total = float(data.count())
         settings = draw_settings(grid, n_iter, seed)
-        base = estimator(name, label, None, total, column, seed)
-        maps = []
-        for point in settings:
-            made = estimator(name, label, point, total, column, seed)
-            maps.append({base.getParam(p.name): v for p, v in made.extractParamMap().items()
-                         if made.isSet(p)})
-        judge = BinaryClassificationEvaluator(labelCol=label, metricName=metric, numBins=0)
-
-        def fold_score(task: tuple[int, int]) -> float:
-            fold, i = task
-            model = base.fit(data.where(F.col("fold") != fold), maps[i])
-            return judge.evaluate(model.transform(data.where(F.col("fold") == fold)))
-
-        # Only folds are fitted: the winner is not fitted again on all rows.
-        tasks = [(fold, i) for i in range(len(maps)) for fold in range(folds)]
-        with ThreadPool(parallelism) as pool:
-            found = pool.map(fold_score, tasks)
-        scores = [sum(found[i * folds : (i + 1) * folds]) / folds for i in range(len(maps))]
+        models = fold_models(name, data, label, ids, folds, settings, column, parallelism, seed)
+        keys = [(i, fold) for i in range(len(settings)) for fold in range(folds)]
+        scored = materialize(_score_folds(data, label, column, dict(zip(keys, models))), "search")
+        found = {
+            (r["setting"], r["fold"]): r[metric]
+            for r in binary_metrics(scored, ["setting", "fold"], label, digits=None).collect()
+        }
     finally:
         data.unpersist()
+    scores = [sum(found.get((i, f), 0.0) for f in range(folds)) / folds for i in range(len(settings))]
     best = max(range(len(scores)), key=lambda i: scores[i])
     return settings[best], round(float(scores[best]), 4)
 
 
+def fold_models(
+    name: str,
+    data: DataFrame,
+    label: str,
+    ids: list[str],
+    folds: int,
+    settings: list[dict],
+    column: str = "features",
+    parallelism: int = 4,
+    seed: int = 42,
+) -> list:
+    """Models per setting and fold (fold fastest), each fitted on all rows but those of
+    its ``fold``.  Boosted trees and linear models share passes over the table; forests
+    are fitted side by side."""
+    sizes = class_sizes(data, label, ["fold"])
+    own = []
+    for fold in range(folds):
+        rest: dict[int, int] = {}
+        for (f, y), n in sizes.items():
+            if f != fold:
+                rest[y] = rest.get(y, 0) + n
+        own.append(rest)
+    tasks = [(point, fold) for point in settings for fold in range(folds)]
+    outside = [F.col("fold") != fold for fold in range(folds)]
+    if name in BOOSTED:
+        weighted = data.withColumns({
+            f"_w{k}": F.when(outside[k], F.when(F.col(label) == 1, positive_weight(own[k])).otherwise(1.0)).otherwise(0.0)
+            for k in range(folds)
+        })
+        fits = [bo.Fit(boosted_settings(name, point, seed=seed), f"_w{k}") for point, k in tasks]
+        return bo.fit_many([weighted], label, ids, fits, column)
+    width = data.select(F.size(vector_to_array(F.col(column)))).first()
+    if name == "logistic_regression" and width and width[0] <= linear.WIDEST:
+        weighted = data.withColumns({
+            f"_w{k}": F.when(outside[k], balanced_weight(own[k], F.col(label))).otherwise(0.0) for k in range(folds)
+        })
+        fits = [
+            linear.LinearFit(f"_w{k}", point.get("C", 1.0), point.get("penalty", "l2") == "l1") for point, k in tasks
+        ]
+        with linear.SharedRows(weighted, label, [f"_w{k}" for k in range(folds)], column) as rows:
+            return rows.fit(fits)
+
+    def fit(task: tuple[dict, int]):
+        point, k = task
+        return train_model(name, data.where(outside[k]), label, params=point, column=column, seed=seed)
+
+    with ThreadPool(parallelism) as pool:
+        return pool.map(fit, tasks)
+
+
+def _score_folds(data: DataFrame, label: str, column: str, models: dict[tuple[int, int], object]) -> DataFrame:
+    """(setting, fold, label, y_prob): every row under the models that did not see it."""
+    plain = {k: m for k, m in models.items() if isinstance(m, (np.ndarray, bo.BoostedTrees))}
+    if len(plain) < len(models):
+        parts = None
+        for (i, fold), model in models.items():
+            part = score(model, data.where(F.col("fold") == fold), [label, "fold"])
+            part = part.withColumn("setting", F.lit(i))
+            parts = part if parts is None else parts.unionByName(part)
+        return parts
+    margins = {
+        k: (m[:-1], m[-1]) if isinstance(m, np.ndarray) else bo.margin_of(m.flat()) for k, m in plain.items()
+    }
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for fold, part in pdf.groupby("fold"):
+                for (i, k), model in margins.items():
+                    if k != fold:
+                        continue
+                    if isinstance(model, tuple):
+                        z = np.stack(part["x"].to_numpy()) @ model[0] + model[1]
+                    else:
+                        z = model(part["x"]).to_numpy()
+                    yield pd.DataFrame(
+                        {"setting": i, "fold": fold, label: part[label].to_numpy(), "y_prob": 1 / (1 + np.exp(-z))}
+                    )
+
+    kind = data.schema[label].dataType.simpleString()
+    slim = data.select("fold", label, vector_to_array(F.col(column)).alias("x"))
+    return slim.mapInPandas(run, f"setting int, fold int, {label} {kind}, y_prob double")
+
+
 def cross_validate(
     name: str,
     df: DataFrame,
@@ -256,13 +353,13 @@ def cross_validate(
     model that did not see it."""
     assigned = stratified_folds(df.select(*ids, label), label, ids, folds, seed)
     data = df.select(*ids, label, column).join(assigned.select(*ids, "fold"), ids).persist()
-    scored = None
-    for fold in range(folds):
-        model = train_model(
-            name, data.where(F.col("fold") != fold), label, params=params, column=column, seed=seed
+    try:
+        models = fold_models(name, data, label, ids, folds, [params or {}], column, seed=seed)
+        scored = materialize(
+            _score_folds(data, label, column, {(0, fold): m for fold, m in enumerate(models)}), "folds"
         )
-        part = score(model, data.where(F.col("fold") == fold), [*ids, label, "fold"])
-        scored = part if scored is None else scored.unionByName(part)
+    finally:
+        data.unpersist()
     per_fold = binary_metrics(scored, ["fold"], label, "y_prob", digits=None)
     per_fold = per_fold.withColumn("model", F.lit(name))
     return per_fold, fold_summary(per_fold, ["model"])

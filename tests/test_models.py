@@ -9,7 +9,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from cohortlens.operators import evaluate as ev, explain as ex, fairness as fr, ranking as rk
+from cohortlens.operators import evaluate as ev, explain as ex, fairness as fr, linear, ranking as rk
 from cohortlens.operators import features as of, select as sel, topics as tp, train as tr
 
 
@@ -132,17 +132,20 @@ def test_selection(spark):
         sel.select_features(df, "label", "guess")
 
 
-def brute_shapley(x, leaves, d):
+def brute_shapley(x, trees, d):
     """Shapley values of the path-dependent game by listing all subsets."""
 
+    def value(tree, node, known):
+        left, right = tree["left"][node], tree["right"][node]
+        if left < 0:
+            return tree["value"][node]
+        if tree["feature"][node] in known:
+            return value(tree, left if x[tree["feature"][node]] <= tree["threshold"][node] else right, known)
+        share = tree["cover"][left] / tree["cover"][node]
+        return share * value(tree, left, known) + (1 - share) * value(tree, right, known)
+
     def game(known):
-        total = 0.0
-        for value, feats, low, high, share in leaves:
-            w = value
-            for f, a, b, s in zip(feats, low, high, share):
-                w *= float(a < x[f] <= b) if f in known else s
-            total += w
-        return total
+        return sum(value(t, 0, known) for t in trees)
 
     out = np.zeros(d)
     for f in range(d):
@@ -154,13 +157,62 @@ def brute_shapley(x, leaves, d):
     return out
 
 
-def test_tree_contributions_against_all_subsets(spark):
+@pytest.mark.parametrize("name,params", [
+    ("random_forest", {"numTrees": 3, "maxDepth": 9, "minInstancesPerNode": 1}),
+    ("gbt_depthwise", {"rounds": 4, "depth": 6, "min_hessian": 0.1}),
+    ("gbt_leafcapped", {"rounds": 3, "leaves": 20, "min_rows": 2}),
+])
+def test_tree_contributions_against_all_subsets(spark, name, params):
     df, x, _ = toy(spark)
-    model = tr.train_model("random_forest", df, "label", params={"numTrees": 3, "maxDepth": 4})
-    leaves = ex.tree_leaves(model)
-    fast = ex.leaf_contributions(x[:6], leaves)
+    model = tr.train_model(name, df, "label", params=params)
+    trees = ex.flat_trees(model)
+    assert max(ex._depth(t) for t in trees) > 5  # features come again on the way down
+    fast = ex.path_contributions(x[:6], trees)
     for i in range(6):
-        assert fast[i] == pytest.approx(brute_shapley(x[i], leaves, 5), abs=1e-9)
+        assert fast[i] == pytest.approx(brute_shapley(x[i], trees, 5), abs=1e-9)
+    table = ex.contributions(model, df, df, "row_id").collect()
+    scores = {r["row_id"]: r["y_prob"] for r in tr.score(model, df, ["row_id"]).collect()}
+    for r in table:
+        total = r["base"] + sum(r["contributions"])
+        want = scores[r["row_id"]]
+        assert (total if name == "random_forest" else 1 / (1 + math.exp(-total))) == pytest.approx(want, abs=1e-9)
+
+
+def plain_logistic(x, y, w, C, l1):
+    """Proximal gradient steps on all rows, many of them."""
+    x1 = np.hstack([x, np.ones((len(x), 1))])
+    beta = np.zeros(x1.shape[1])
+    rate = 1 / (C * 0.25 * np.linalg.norm(x1 * np.sqrt(w)[:, None], 2) ** 2 + 1)
+    for _ in range(60_000):
+        p = 1 / (1 + np.exp(-x1 @ beta))
+        grad = C * x1.T @ (w * (p - y))
+        if not l1:
+            grad[:-1] += beta[:-1]
+        beta = beta - rate * grad
+        if l1:
+            beta[:-1] = np.sign(beta[:-1]) * np.maximum(np.abs(beta[:-1]) - rate, 0)
+    return beta
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_logistic_models_in_shared_passes(spark, monkeypatch, parts):
+    df, x, y = toy(spark)
+    if parts > 1:
+        monkeypatch.setattr(linear, "PART_CELLS", len(x) * 5 // parts)
+        monkeypatch.setattr(linear, "BLOCK_ROWS", 16)
+    df = df.withColumn("w", F.lit(1.0) + F.col("label")).withColumn("v", (F.col("row_id") % 3 != 0).cast("int"))
+    ids = np.array([r["row_id"] for r in df.orderBy("row_id").collect()])
+    y = np.array(y, float)
+    fits = [linear.LinearFit("w", 0.1), linear.LinearFit("w", 0.05, l1=True), linear.LinearFit("v", 1.0),
+            linear.LinearFit("v", 0.02, l1=True), linear.LinearFit("w", 1.0, features=[0, 3])]
+    with linear.SharedRows(df, "label", ["w", "v"]) as rows:
+        found = rows.fit(fits)
+    weights = {"w": 1 + y, "v": (ids % 3 != 0).astype(float)}
+    for fit, beta in zip(fits[:4], found):
+        assert beta == pytest.approx(plain_logistic(x, y, weights[fit.weight], fit.C, fit.l1), abs=2e-4)
+    part = plain_logistic(x[:, [0, 3]], y, weights["w"], 1.0, False)
+    assert found[4][[0, 3, 5]] == pytest.approx(part, abs=2e-4) and not found[4][[1, 2, 4]].any()
+    assert (found[3][:-1] == 0).any()
 
 
 def test_local_explanation(spark):
