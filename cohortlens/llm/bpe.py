@@ -19,6 +19,11 @@ PART_CHARS = 1 << 15
 SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?=\s)|(?<=[a-zA-Z])(?=[0-9])|(?<=[0-9])(?=[a-zA-Z])")
 
 
+#: White space that is cut out of long texts: the library's pattern fails on very long
+#: runs.  A run is one match, but for its last character where something follows.
+LONG_RUN = regex.compile(r"\p{White_Space}{4096,}")
+
+
 def safe_parts(text: str, size: int = PART_CHARS) -> list[str]:
     """Cut a long text at the first safe border after every ``size`` characters;
     a stretch without a border stays whole."""
@@ -47,6 +52,15 @@ class RankFile:
     def encode(self, text: str) -> list[int]:
         if len(text) <= PART_CHARS:
             return self.encoding.encode_ordinary(text)
+        ids, start = [], 0
+        for run in LONG_RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += self._parts(text[start : run.start()])
+            ids += self.encoding._encode_single_piece(text[run.start() : end])
+            start = end
+        return ids + self._parts(text[start:])
+
+    def _parts(self, text: str) -> list[int]:
         return [i for part in safe_parts(text) for i in self.encoding.encode_ordinary(part)]
 
     def decode(self, ids: list[int]) -> bytes:

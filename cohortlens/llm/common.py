@@ -26,6 +26,11 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def without(docs: DataFrame, made: tuple[str, ...]) -> DataFrame:
+    """``docs`` without columns that an operator makes itself: its own ones win."""
+    return docs.select(*[c for c in docs.columns if c.lower() not in made])
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch, null as empty."""
     return ["" if text is None else text for text in batch.column(name).to_pylist()]

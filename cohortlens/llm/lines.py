@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .common import SPACE, sized_broadcast, two_hashes
+from .common import SPACE, sized_broadcast, two_hashes, without
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -19,11 +19,11 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_length: int = 20
     """Drop lines whose key is in at least ``min_docs`` documents, except in the
     document with the largest doc_id that holds it.
 
-    Returns the columns of ``docs`` with the kept ``text`` and n_lines, n_dropped.
+    Returns the columns of ``docs`` with the kept ``text`` and n_lines, n_dropped;
+    columns with these two names are replaced, any other name may occur.
     Keys under ``min_length`` code points are always kept.  A null or empty text is
-    one empty line and becomes an empty text.  Each row is one document: rows with
-    the same doc_id count apart, and all of them keep a line when theirs is the
-    largest id.  A null doc_id is below every other.  Repeated lines of one document
+    one empty line and becomes an empty text.  Rows with the same doc_id are one
+    document to the count, and all of them keep a line when theirs is the largest id.  A null doc_id is below every other.  Repeated lines of one document
     count once; all of them go or stay.
 
     Only (hash, doc_id, row) leave the scan; the hash is 128 bits.  The count per
@@ -31,6 +31,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_length: int = 20
     one row per task, and hashes below the threshold are gone before the join.
     Lines are put back by position in the row's own array.
     """
+    docs = without(docs, ("n_lines", "n_dropped"))
     texts = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     rows = docs.select(
         F.struct(*docs.columns).alias("row"),
@@ -48,9 +49,12 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_length: int = 20
         rows.select("id", F.explode(F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))).alias("k"))
         .select("id", "k.g", "k.h")
     )
+    # Rows of one doc_id count once: where ids repeat, keys are made distinct per id.
+    again = not docs.groupBy("doc_id").count().where(F.col("count") > 1).isEmpty()
+    per_id = held.select("g", "h", "id.doc_id").distinct() if again else held.select("g", "h", "id.doc_id")
     often = (
-        held.groupBy("g", "h")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("id.doc_id").alias("last"))
+        per_id.groupBy("g", "h")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
         .where(F.col("n") >= min_docs)
         .drop("n")
     )

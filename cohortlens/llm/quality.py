@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import small_batches, texts_of
+from .common import small_batches, texts_of, without
 
 #: Labelled rows that a fit may use: those of smallest hash.  This bounds the fit,
 #: which runs in the driver; scoring reads every row.
@@ -170,9 +170,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Histogr
 def score(docs: DataFrame, model: HistogramTrees, name: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 for every row, from its whole text only.
 
-    A null text is an empty one.  Nothing is shuffled.  ``name`` must be a new column.
+    A null text is an empty one.  Nothing is shuffled.  A column ``name`` is replaced.
     """
     small_batches(docs.sparkSession)
+    docs = without(docs, (name.lower(),))
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

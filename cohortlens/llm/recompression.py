@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from . import repeats
-from .common import Hashes, mix
+from .common import Hashes, mix, without
 
 #: Rounds of naming.  A round shortens prose by about a quarter.
 ROUNDS = 7
@@ -176,13 +176,15 @@ def remove_repeated_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     Returns the columns of ``docs`` with the kept words, joined by one space, as
     ``text``, and n_words, n_removed.  A null text has no words and becomes empty.
     A null doc_id counts as smaller than all others; rows of one doc_id never remove
-    each other's words.  Extra columns are kept.
+    each other's words.  Extra columns are kept, but for those named n_words or
+    n_removed, which are replaced.
 
     Names of runs and pairs are 64-bit fingerprints of what they stand for: the same
     everywhere without a shuffle per round.  Shared symbols of high levels find the
     windows that may repeat; those are then compared by fingerprints of all their
     words (``repeats``).
     """
+    docs = without(docs, ("n_words", "n_removed"))
     schema = T.StructType([
         *docs.schema.fields,
         T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),

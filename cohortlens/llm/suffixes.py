@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from . import repeats
-from .common import mix
+from .common import mix, without
 
 #: Bytes of the prefixes by which suffixes are sampled: a power of three.
 SAMPLE = 81
@@ -105,7 +105,8 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400) -> DataFrame:
     Returns the columns of ``docs`` and n_bytes, n_removed, n_spans (maximal removed
     runs) and kept (the remaining bytes); ``text`` is their text without characters
     that a border cut.  Both copies of a repeat go.  Repeated rows are repeats of
-    each other, whatever their doc_id.  A null text is empty.  Extra columns are kept.
+    each other, whatever their doc_id.  A null text is empty.  Extra columns are kept,
+    but for those with the names of the new ones, which are replaced.
 
     Names stand for prefixes: triples of bytes, then triples of names, as in the
     difference-cover sort, but as 64-bit fingerprints, which need no sort per level.
@@ -113,6 +114,7 @@ def remove_repeated_strings(docs: DataFrame, length: int = 400) -> DataFrame:
     names of all strings there are sorted and neighbours compared (``repeats``).
     """
     more = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType())]
+    docs = without(docs, tuple(n for n, _ in more))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in more)])
 
     def done(row: dict[str, pa.Array], batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -125,10 +125,10 @@ def dropped_lines(table: list[tuple], min_docs: int = 3, size: int = 20) -> list
     def key(line):
         return "".join(c.lower() if c.isascii() else c for c in line.strip(common.SPACE))
 
-    held = defaultdict(list)
+    held = defaultdict(set)
     for doc_id, text in table:
         for k in {key(x) for x in (text or "").split("\n")}:
-            held[k].append(-1 if doc_id is None else doc_id)
+            held[k].add(-1 if doc_id is None else doc_id)
     out = []
     for doc_id, text in table:
         cut = (text or "").split("\n")
@@ -149,6 +149,43 @@ def test_lines(docs, empty):
     assert lines.drop_repeated_lines(empty).count() == 0
 
 
+def test_rows_of_one_document_count_once(spark):
+    line = "a line of more than twenty characters"
+    table = [(5, line), (5, line), (9, line), (1, "x")]
+    got = lines.drop_repeated_lines(spark.createDataFrame(table, "doc_id bigint, text string"))
+    found = sorted([(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()], key=str)
+    assert found == dropped_lines(table) and not any(r[2] for r in found)
+
+
+CLASHING = ["n_lines", "N_dropped", "n_words", "n_removed", "n_bytes", "n_spans", "kept", "score", "row", "id", "t", "u",
+            "rank", "starts", "ends", "least", "lines", "g", "h", "last", "of", "gone", "batch", "bucket", "key"]
+
+
+def test_clashing_names(spark):
+    table = [(i, PASSAGE + "\n" + LONG[:900]) + ("mine",) * len(CLASHING) for i in range(4)]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string, " + ", ".join(f"{c} string" for c in CLASHING))
+    made = {
+        "n_lines": lines.drop_repeated_lines(docs), "n_words": recompression.remove_repeated_passages(docs),
+        "n_bytes": suffixes.remove_repeated_strings(docs), "score": quality.score(docs, quality.HistogramTrees(rounds=1).fit(
+            np.zeros((2, len(quality.FEATURES))), np.array([0.0, 1.0]))),
+    }
+    for name, got in made.items():
+        rows = got.collect()
+        assert len(rows) == 4 and len({c.lower() for c in got.columns}) == len(got.columns)
+        assert all(not isinstance(r[name], str) and r["rank"] == "mine" for r in rows)
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t", "\u3000", " \r\n"])
+def test_long_white_space(space):
+    codec = bpe.RankFile(MULTI_RANKS, public_tokenizers.PATTERN)
+    tail, lone = ["end", "", "'s", "9", "\u00e9!"], codec.encoding
+    for after in tail:
+        text = "word" + space * 30_000 + after  # short enough for the library
+        assert codec.encode("x " * 20_000 + text) == lone.encode_ordinary("x " * 20_000 + text)
+    whole = "word" + space * 1_000_000 + "end"
+    assert codec.decode(codec.encode(whole)) == whole.encode()
+
+
 def test_bpe(docs, empty):
     import base64
 
