@@ -14,24 +14,31 @@ from cohortlens.llm.catalog import BYTE_BPE, query
 from cohortlens.session import materialize, ship_package
 
 
-def _like(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """The columns of ``docs``, with n_chars counted again."""
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+def _changed(docs: DataFrame, operator) -> DataFrame:
+    """``docs`` with the texts that ``operator`` leaves and n_chars counted again.  Columns
+    that are no concern of it go through under other names, whatever they are called."""
+    own = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    changed = operator(docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in own.items()]))
+    back = [F.col(own.get(c, c)).alias(c) for c in docs.columns]
+    if "n_chars" in own:
+        count = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        back[docs.columns.index("n_chars")] = count
+    return changed.select(*back)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality trees score below one half."""
     ship_package(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, "_score").where(F.col("_score") >= 0.5).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    good = quality.score(rows, model, "good").where(F.col("good") >= 0.5)
+    return good.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that at least three documents have, but for one."""
     ship_package(spark)
-    return _like(docs, lines.drop_repeated_lines(docs))
+    return _changed(docs, lines.drop_repeated_lines)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +50,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop strings of 400 bytes and more that occur twice."""
     ship_package(spark)
-    return _like(docs, suffixes.remove_repeated_strings(docs))
+    return _changed(docs, suffixes.remove_repeated_strings)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
