@@ -323,20 +323,27 @@ def _edits(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Turns that stay, piece by piece: their place, their row and their role ('' when
     the row's own role is kept)."""
     for pdf in pdfs:
-        frames = []
-        for conv, first, out, system, audit in zip(pdf["conv"], pdf["first"], pdf["out"], pdf["system"], pdf["audit"]):
-            letters = np.frombuffer(audit.encode(), np.uint8)
-            rows = np.cumsum(letters != ord("I")) - 1 + first
-            stays = letters != ord("D")
-            place = np.cumsum(stays)[stays] - 1 + out
-            action = letters[stays]
-            new = np.where((place - int(system)) % 2 == 0, ROLES["u"], ROLES["a"])
-            frames.append(pd.DataFrame({
-                "conv": conv, "place": place, "at": rows[stays],
-                "action": [chr(x) for x in action], "role": np.where(action == ord("K"), "", new),
-            }))
-        if frames:
-            yield pd.concat(frames)
+        if not len(pdf):
+            continue
+        # All pieces as one text of letters; sums start anew where a piece starts.
+        sizes = pdf["audit"].str.len().to_numpy()
+        letters = np.frombuffer("".join(pdf["audit"]).encode(), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+
+        def count(what: np.ndarray, offset: pd.Series) -> np.ndarray:
+            total = np.concatenate([[0], np.cumsum(what)])
+            return total[1:] - 1 - np.repeat(total[starts] - offset.to_numpy(), sizes)
+
+        stays = letters != ord("D")
+        rows, place = count(letters != ord("I"), pdf["first"])[stays], count(stays, pdf["out"])[stays]
+        action = letters[stays]
+        system = np.repeat(pdf["system"].to_numpy(bool), sizes)[stays]
+        new = np.where((place - system) % 2 == 0, ROLES["u"], ROLES["a"])
+        yield pd.DataFrame({
+            "conv": np.repeat(pdf["conv"].to_numpy(), sizes)[stays], "place": place, "at": rows,
+            "action": np.array(["D", "I", "K", "R"])[np.searchsorted(np.frombuffer(b"DIKR", np.uint8), action)],
+            "role": np.where(action == ord("K"), "", new),
+        })
 
 
 def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
