@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.numeric import let
 from ..session import materialize
 from .common import SPACE, sized_broadcast, two_hashes, without
 
@@ -40,8 +41,15 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_length: int = 20
     )
     keys = F.transform(
         "lines",
+        # A line below the length has no key above it; the key is made once.
         lambda x: F.when(
-            F.length(line_key(x)) >= min_length, F.struct(*(h.alias(n) for h, n in zip(two_hashes(line_key(x)), "gh")))
+            F.length(x) >= min_length,
+            let(
+                line_key(x),
+                lambda k: F.when(
+                    F.length(k) >= min_length, F.struct(*(h.alias(n) for h, n in zip(two_hashes(k), "gh")))
+                ),
+            ),
         ),
     )
     # One row per document and key.
