@@ -180,26 +180,38 @@ def t5_npmi(spark, d):
     return out.select("a", "b", "n_ab", r6(F.col("score")).alias("score"))
 
 
+def _phrase_pass(of: str, number: int, threshold: float) -> str:
+    """One pass over table ``of`` (doc_id, tokens), as table ``pass<number>``."""
+    n = number
+    return f"""
+w{n} AS (SELECT doc_id, unnest(tokens) AS a, generate_subscripts(tokens, 1) - 1 AS pos FROM {of}),
+p{n} AS (SELECT doc_id, pos, a, lead(a) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM w{n}),
+uni{n} AS (SELECT a, count(*) AS n FROM w{n} GROUP BY a),
+pairs{n} AS (SELECT a, b, count(*) AS n_ab FROM p{n} WHERE b IS NOT NULL GROUP BY a, b),
+kept{n} AS (SELECT q.a, q.b FROM pairs{n} q JOIN uni{n} x ON q.a = x.a JOIN uni{n} y ON q.b = y.a
+  WHERE n_ab >= 10 AND (n_ab - 10) / x.n::DOUBLE / y.n::DOUBLE
+    * ((SELECT count(*) FROM uni{n}) + (SELECT count(*) FROM pairs{n})) > {threshold}),
+hits{n} AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run
+  FROM p{n} SEMI JOIN kept{n} k ON p{n}.a = k.a AND p{n}.b = k.b),
+cut{n} AS (SELECT doc_id, pos FROM (SELECT *, pos - min(pos) OVER (PARTITION BY doc_id, run) AS off
+  FROM hits{n}) WHERE off % 2 = 0),
+joined{n} AS (SELECT p.doc_id, p.pos, CASE WHEN c.pos IS NOT NULL THEN p.a || '_' || p.b ELSE p.a END AS t
+  FROM p{n} p LEFT JOIN cut{n} c ON p.doc_id = c.doc_id AND p.pos = c.pos
+  WHERE NOT EXISTS (SELECT 1 FROM cut{n} e WHERE e.doc_id = p.doc_id AND e.pos = p.pos - 1)),
+pass{n} AS (SELECT o.doc_id, coalesce(j.tokens, []::VARCHAR[]) AS tokens
+  FROM {of} o LEFT JOIN (SELECT doc_id, list(t ORDER BY pos) AS tokens FROM joined{n} GROUP BY doc_id) j USING (doc_id))"""
+
+
 @query(
     "t5_joined_phrases",
     with_docs(
-        f""", {_WORDS},
-        hits AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run
-                 FROM p SEMI JOIN (SELECT a, b FROM kept WHERE score > 3) k ON p.a = k.a AND p.b = k.b),
-        cut AS (SELECT doc_id, pos FROM (SELECT *, pos - min(pos) OVER (PARTITION BY doc_id, run) AS off
-                FROM hits) WHERE off % 2 = 0),
-        joined AS (SELECT p.doc_id, p.pos, CASE WHEN c.pos IS NOT NULL THEN p.a || '_' || p.b ELSE p.a END AS t
-                   FROM p LEFT JOIN cut c ON p.doc_id = c.doc_id AND p.pos = c.pos
-                   WHERE NOT EXISTS (SELECT 1 FROM cut e WHERE e.doc_id = p.doc_id AND e.pos = p.pos - 1)),
-        done AS (SELECT doc_id, count(*) AS n_tokens, md5(string_agg(t, ' ' ORDER BY pos)) AS digest
-                 FROM joined GROUP BY doc_id)
-        SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, coalesce(digest, md5('')) AS digest
-        FROM docs LEFT JOIN done USING (doc_id)"""
+        f""", {_phrase_pass('docs', 1, 3)}, {_phrase_pass('pass1', 2, 3)}
+        SELECT doc_id, len(tokens) AS n_tokens, md5(coalesce(array_to_string(tokens, ' '), '')) AS digest FROM pass2"""
     ),
 )
 def t5_joined(spark, d):
     docs = documents(spark, d).select("doc_id", "tokens")
-    out = ot.add_phrases(docs, 10, 3.0, passes=1)
+    out = ot.add_phrases(docs, 10, 3.0)
     return out.select(
         "doc_id",
         F.size("tokens").cast("long").alias("n_tokens"),
@@ -210,17 +222,21 @@ def t5_joined(spark, d):
 @query(
     "t6_prepare_text",
     with_docs(
-        """SELECT doc_id, len(tokens) AS num_tokens, md5(cleaned_text) AS digest FROM docs
-           WHERE length(cleaned_text) BETWEEN 100 AND 50000"""
+        f""", within AS (SELECT * FROM docs WHERE length(cleaned_text) BETWEEN 100 AND 50000),
+        {_phrase_pass('within', 1, 50)}, {_phrase_pass('pass1', 2, 50)}
+        SELECT doc_id, len(pass2.tokens) AS num_tokens, md5(cleaned_text) AS digest,
+               md5(coalesce(array_to_string(pass2.tokens, ' '), '')) AS tokens_digest
+        FROM pass2 JOIN within USING (doc_id)"""
     ),
 )
 def t6(spark, d):
     docs = raw_documents(spark, d)
-    out = prepare_text(docs, removed_sections=ft.DEFAULT_REMOVED_SECTIONS, use_phrases=False)
+    out = prepare_text(docs, removed_sections=ft.DEFAULT_REMOVED_SECTIONS)
     return out.select(
         "doc_id",
         F.col("num_tokens").cast("long").alias("num_tokens"),
         F.md5("cleaned_text").alias("digest"),
+        F.md5(F.array_join("tokens", " ")).alias("tokens_digest"),
     )
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -137,9 +140,53 @@ def join_phrases(
     """Join accepted pairs (a, b) greedily from the left.
 
     In a run of overlapping accepted pairs the greedy choice is every other one,
-    starting with the first.  Only accepted positions are shuffled; the tokens are
-    cut and rebuilt in place.
+    starting with the first.  Up to ``LOOKUP_PAIRS`` accepted pairs go to every task,
+    which looks neighbours up in its own rows: nothing is shuffled.  Beyond that the
+    positions are joined to the pairs, and the rows to the positions.
     """
+    found = phrases.select(F.concat_ws(_BETWEEN, "a", "b").alias("p")).limit(LOOKUP_PAIRS + 1)
+    accepted = [r["p"] for r in found.collect()]
+    if len(accepted) <= LOOKUP_PAIRS:
+        join = F.arrow_udf(_joiner(accepted, delimiter), "array<string>")
+        return df.withColumn(tokens, join(F.col(tokens)))
+    return _join_shuffled(df, phrases, doc_id, tokens, delimiter)
+
+
+#: Accepted pairs that are sent to every task: some tens of MB of text.
+LOOKUP_PAIRS = 1_000_000
+_BETWEEN = "\x00"
+
+
+def _joiner(accepted: list[str], delimiter: str):
+    """Token lists with accepted neighbours joined, a whole Arrow batch at a time."""
+
+    def join(lists: pa.Array) -> pa.Array:
+        lists = pa.array(lists) if not isinstance(lists, pa.Array) else lists
+        flat = lists.flatten()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        n = len(flat)
+        if n == 0:
+            return lists
+        after = pa.concat_arrays([flat.slice(1), pa.nulls(1, flat.type)])
+        both = pc.binary_join_element_wise(flat, after, _BETWEEN)
+        hit = pc.is_in(both, pa.array(accepted, flat.type)).to_numpy(zero_copy_only=False)
+        hit[ends[sizes > 0] - 1] = False  # no pair goes on in the next row
+        at = np.arange(n)
+        last_miss = np.maximum.accumulate(np.where(hit, -1, at))
+        chosen = hit & ((at - last_miss) % 2 == 1)
+        stays = np.concatenate([[True], ~chosen[:-1]])
+        joined = pc.if_else(pa.array(chosen), pc.binary_join_element_wise(flat, after, delimiter), flat)
+        edges = np.concatenate([[0], np.cumsum(stays)])[np.concatenate([[0], ends])]
+        missing = lists.is_null() if lists.null_count else None
+        return pa.ListArray.from_arrays(
+            pa.array(edges, pa.int32()), joined.filter(pa.array(stays)), mask=missing
+        )
+
+    return join
+
+
+def _join_shuffled(df: DataFrame, phrases: DataFrame, doc_id: str, tokens: str, delimiter: str) -> DataFrame:
     pairs = df.select(
         doc_id, F.posexplode_outer(_pairs(F.col(tokens))).alias("pos", "p")
     ).where(F.col("pos").isNotNull()).select(doc_id, "pos", "p.a", "p.b")

@@ -69,15 +69,24 @@ def greedy(tokens, pairs):
     return out
 
 
-def test_phrases_match_greedy_scan(spark):
+@pytest.mark.parametrize("bound", [1_000_000, 2])
+def test_phrases_match_greedy_scan(spark, monkeypatch, bound):
+    monkeypatch.setattr(ot, "LOOKUP_PAIRS", bound)  # 2: joined by a shuffle
     rng = random.Random(3)
     docs = [(i, [rng.choice("abcd") for _ in range(rng.randint(0, 30))]) for i in range(60)]
     pairs = {("a", "b"), ("b", "a"), ("a", "a"), ("c", "d"), ("d", "c")}
-    df = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
+    df = spark.createDataFrame(docs, "doc_id long, tokens array<string>").repartition(3)
     got = ot.join_phrases(df, spark.createDataFrame(sorted(pairs), "a string, b string"))
     assert {r["doc_id"]: r["tokens"] for r in got.collect()} == {i: greedy(t, pairs) for i, t in docs}
 
 
+def test_phrases_in_place(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, None), (3, []), (4, ["b", "a"]), (5, ["a"])], "doc_id int, tokens array<string>")
+    got = ot.join_phrases(df.coalesce(1), spark.createDataFrame([("a", "b")], "a string, b string"))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: r["tokens"] for r in got.collect()} == {1: ["a_b"], 2: None, 3: [], 4: ["b", "a"], 5: ["a"]}
+
+
 def test_phrases_found(spark):
     words = "cardiac arrest pulmonary edema septic shock".split() * 5
     df = spark.createDataFrame([(i, words) for i in range(80)], "doc_id long, tokens array<string>")
