@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev, explain as ex, features as of, ranking as rk, select as sel
 from ..operators import train as tr
+from ..plans.notes import fit_note_model
 from ..plans.prediction import explain_best, prediction_grid
 from ..session import scratch_path
 from ..streaming import scoring as sc
@@ -467,3 +469,59 @@ def r2(spark, d):
     return out.agg(
         F.count(F.lit(1)).alias("n_rows"), F.bool_and(F.size("top_features") == 5).alias("complete")
     )
+
+
+# --- raw notes ------------------------------------------------------------------------
+
+
+def _note_model(spark, d):
+    """Documents labelled good or bad, as notes with an age and an insurance."""
+    notes = table(spark, d, "documents").select(
+        "doc_id", "text", (F.col("doc_id") % 90).alias("years"), F.col("source").alias("payer")
+    )
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
+    train = notes.join(labels, "doc_id")
+    model = fit_note_model(
+        train, "label", topics=3, inputs={"age": "years", "gender": None, "insurance": "payer", "los": None}
+    )
+    path = scratch_path(spark, "note-model")
+    model.write().save(path)
+    return notes, train, PipelineModel.load(path)
+
+
+@query(
+    "r1_note_stream_equals_batch",
+    """SELECT count(*) AS n_rows, count(*) AS n_equal,
+       (SELECT count(DISTINCT doc_id) FROM labels JOIN documents USING (doc_id)) AS n_labelled, true AS learned
+       FROM documents""",
+)
+def r1_notes(spark, d):
+    notes, train, model = _note_model(spark, d)
+    folder, out = scratch_path(spark, "notes"), scratch_path(spark, "note-scores")
+    notes.write.parquet(folder)
+    stream = spark.readStream.schema(notes.schema).parquet(folder)
+    sc.start_note_scoring(model, stream, ["doc_id"], out, scratch_path(spark, "progress"), True).awaitTermination()
+    streamed = spark.read.parquet(out).select(
+        "doc_id", F.col("risk_level").alias("r"), F.col("probability").alias("p"), F.col("predicted_label").alias("y")
+    )
+    batch = sc.score_rows(model, notes, ["doc_id"]).join(streamed, "doc_id")
+    same = (F.col("r") == F.col("risk_level")) & (F.col("p") == F.col("probability")) & (F.col("y") == F.col("predicted_label"))
+    judged = train.select("doc_id", "label").withColumnRenamed("doc_id", "of")
+    right = F.avg((F.col("label") == F.col("y")).cast("double"))
+    return batch.join(judged, F.col("doc_id") == F.col("of"), "left").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(same).alias("n_equal"), F.count("of").alias("n_labelled"),
+        (right > 0.9).alias("learned"),
+    )
+
+
+@query("r2_explained_notes", "SELECT count(*) AS n_rows, true AS additive, true AS complete FROM documents")
+def r2_notes(spark, d):
+    notes, train, model = _note_model(spark, d)
+    out = sc.explain_notes(model, notes, train, "doc_id", 5)
+    scores = sc.score_rows(model, notes, ["doc_id"]).select("doc_id", "probability")
+    p = 1 / (1 + F.exp(-F.col("prediction")))
+    return out.join(scores, "doc_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.bool_and(F.abs(p - F.col("probability")) < 1e-4).alias("additive"),
+        F.bool_and(F.size("top_features") == 5).alias("complete"),
+    )

@@ -11,8 +11,8 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SQL = all_sql()
 # Model fits dominate the run time; the quick run keeps one of each kind.
 SLOW = {
-    "m5_gbt_depthwise", "m7_trained_with_smote", "h1_contributions_by_family",
-    "h6_best_model_explained", "x12_topic_study", "x4_optimal_topics", "m13_prediction_grid",
+    "m7_trained_with_smote", "h6_best_model_explained", "x12_topic_study", "x4_optimal_topics",
+    "r2_explained_notes",
 }
 
 
