@@ -113,18 +113,23 @@ def s8(spark, d):
 
 @query(
     "s9_exported_sections",
-    """SELECT unnest(['results', 'fairness']) AS section, count(*) > 0 AS written FROM labels GROUP BY 1""",
+    f"""SELECT section, (SELECT count(*) > 0 FROM labels) AS written,
+        CASE section WHEN 'topics' THEN (SELECT count(*) FROM ({_TOPIC_EXPORT})) END AS n_topics
+        FROM (VALUES ('results'), ('fairness'), ('topics')) t(section)""",
 )
 def s9(spark, d):
     folder = scratch_path(spark, "export")
     paths = xp.export_payloads(
-        folder, xp.results_payload(results(spark, d)), xp.fairness_payload(*_fairness(spark, d))
+        folder, xp.results_payload(results(spark, d)), xp.fairness_payload(*_fairness(spark, d)),
+        xp.topics_payload(_topics(spark, d), spark.createDataFrame([(5, 0.3), (20, 0.5)], "k int, coherence double"), 20),
     )
     out = None
     for path in paths:
         name = path.rsplit("/", 1)[1].removesuffix(".json")
-        one = xp.read_payload(spark, path).agg((F.count(F.lit(1)) == 1).alias("written"))
-        one = one.select(F.lit(name).alias("section"), "written")
+        back = xp.read_payload(spark, path)
+        topics = F.sum(F.size("topics")).cast("long") if "topics" in back.columns else F.lit(None).cast("long")
+        one = back.agg((F.count(F.lit(1)) == 1).alias("written"), topics.alias("n_topics"))
+        one = one.select(F.lit(name).alias("section"), "written", "n_topics")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -277,7 +277,7 @@ def x8(spark, d):
     return out.select("topic_id", "label", "top_words", r6(total).alias("total_weight"))
 
 
-def _sql_coherence(window: int | None, measure: str) -> str:
+def _sql_coherence(window: int | None, measure: str, words: str = _sql_frequent("lw", _LANG, 8)) -> str:
     """Window counts by listing every window a word's occurrence touches."""
     if window is None:
         spots = "spots AS (SELECT DISTINCT doc_id, 0 AS s, word FROM occ)"
@@ -308,7 +308,7 @@ def _sql_coherence(window: int | None, measure: str) -> str:
           per AS (SELECT topic_id, avg(c) AS c FROM cos GROUP BY 1)"""
     )
     return with_docs(
-        f""", {_sql_frequent("lw", _LANG, 8)},
+        f""", {words},
         occ AS (SELECT doc_id, pos, n, word FROM (SELECT doc_id, unnest(tokens) AS word, len(tokens) AS n,
                   generate_subscripts(tokens, 1) - 1 AS pos FROM docs)
                 SEMI JOIN lw USING (word)),
@@ -342,21 +342,29 @@ for _measure in ("u_mass", "c_npmi", "c_uci", "c_v"):
     )(_coherence(_measure))
 
 
+_SOURCE_TOP = f"{_SOURCE}, lw AS (SELECT * FROM sw WHERE position < 10)"
+
+
 @query(
     "x11_compare_models",
     with_docs(
         f""", {_SOURCE}, {_sql_frequent("lw", _LANG, 8)},
-        m AS (SELECT 'by_source' AS model, * FROM sw UNION ALL SELECT 'by_language', * FROM lw)
+        m AS (SELECT 'by_source' AS model, * FROM sw UNION ALL SELECT 'by_language', * FROM lw),
+        c1 AS ({_sql_coherence(tp.COHERENCE_WINDOWS["c_v"], "c_v")}),
+        c2 AS ({_sql_coherence(tp.COHERENCE_WINDOWS["c_v"], "c_v", _SOURCE_TOP)}),
+        scores AS (SELECT 'by_language' AS model, coherence FROM c1 UNION ALL SELECT 'by_source', coherence FROM c2)
         SELECT model, count(DISTINCT topic_id) AS num_topics,
-               round_even(count(DISTINCT word) / count(*)::DOUBLE, 4) + 0 AS topic_diversity
-        FROM m WHERE position < 10 GROUP BY model"""
+               round_even(count(DISTINCT word) / count(*)::DOUBLE, 4) + 0 AS topic_diversity,
+               any_value(coherence) AS coherence_c_v
+        FROM m JOIN scores USING (model) WHERE position < 10 GROUP BY model"""
     ),
 )
 def x11(spark, d):
+    docs = materialize(documents(spark, d).select("lang", "source", "tokens"), "tokens")
     words = source_words(spark, d).withColumn("model", F.lit("by_source")).unionByName(
-        language_words(spark, d).withColumn("model", F.lit("by_language"))
+        language_words(spark, d, docs=docs).withColumn("model", F.lit("by_language"))
     )
-    return tp.compare_topic_models(words).select("model", "num_topics", "topic_diversity")
+    return tp.compare_topic_models(words, docs).select("model", "num_topics", "topic_diversity", "coherence_c_v")
 
 
 # --- LDA ---------------------------------------------------------------------------
