@@ -11,7 +11,7 @@ from ..operators import evaluate as ev, explain as ex, features as of, ranking a
 from ..operators import train as tr
 from ..plans.notes import fit_note_model
 from ..plans.prediction import explain_best, prediction_grid
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..streaming import scoring as sc
 from .common import r6, sql_r6, subjects, table
 
@@ -212,6 +212,51 @@ for _id, _name in (
     query(f"{_id}_{_name}")(_test_metrics(_name))
 
 
+#: Metrics from the scores by their definitions: all pairs of a positive and a negative
+#: row, and a precision per distinct score.
+PLAIN_METRICS = """
+WITH s AS (SELECT model, label, y_prob FROM {scores}),
+auc AS (SELECT p.model, avg(CASE WHEN p.y_prob > n.y_prob THEN 1D WHEN p.y_prob = n.y_prob THEN 0.5D ELSE 0D END) AS roc_auc
+  FROM s p JOIN s n ON p.model = n.model WHERE p.label = 1 AND n.label = 0 GROUP BY p.model),
+cuts AS (SELECT c.model, c.y_prob, sum(r.label) AS tp, count(1) AS chosen FROM (SELECT DISTINCT model, y_prob FROM s) c
+  JOIN s r ON r.model = c.model AND r.y_prob >= c.y_prob GROUP BY c.model, c.y_prob),
+steps AS (SELECT *, tp - coalesce(lag(tp) OVER (PARTITION BY model ORDER BY y_prob DESC), 0) AS more,
+  max(tp) OVER (PARTITION BY model) AS positives FROM cuts),
+ap AS (SELECT model, sum(more / positives * tp / chosen) AS pr_auc FROM steps GROUP BY model)
+SELECT model, count(1) AS n_test, sum(label) AS n_positive,
+  avg(CASE WHEN (y_prob >= 0.5D) = (label = 1) THEN 1D ELSE 0D END) AS accuracy,
+  2 * sum(CASE WHEN y_prob >= 0.5D THEN label ELSE 0 END)
+    / (sum(CASE WHEN y_prob >= 0.5D THEN 1 ELSE 0 END) + sum(label)) AS f1,
+  any_value(roc_auc) AS roc_auc, any_value(pr_auc) AS pr_auc
+FROM s JOIN auc USING (model) JOIN ap USING (model) GROUP BY model"""
+
+
+@query(
+    "m9_metrics_of_models",
+    """WITH c AS (SELECT CAST(label < 2 AS INTEGER) AS y, count(*) AS n FROM embeddings GROUP BY 1)
+       SELECT model, sum(CAST(round_even(n * 0.2, 0) AS BIGINT)) AS n_test,
+         sum(CASE WHEN y = 1 THEN CAST(round_even(n * 0.2, 0) AS BIGINT) ELSE 0 END) AS n_positive,
+         true AS metrics_agree
+       FROM c, (VALUES ('logistic_regression'), ('gbt_depthwise'), ('gbt_leafcapped')) t(model) GROUP BY model""",
+)
+def m9_models(spark, d):
+    scored = None
+    for name in ("logistic_regression", "gbt_depthwise", "gbt_leafcapped"):
+        data, model = fitted(spark, d, name)
+        part_ = tr.score(model, part(data, "test"), ["row_id", "label"]).withColumn("model", F.lit(name))
+        scored = part_ if scored is None else scored.unionByName(part_)
+    scored = materialize(scored, "model-scores")
+    plain = spark.sql(PLAIN_METRICS, scores=scored)
+    ours = ev.binary_metrics(scored, ["model"], "label", digits=None)
+    names = ("accuracy", "f1", "roc_auc", "pr_auc")
+    agree = [F.abs(F.col(f"o.{c}") - F.col(f"p.{c}").cast("double")) < 1e-9 for c in names]
+    both = ours.alias("o").join(plain.alias("p"), F.col("o.model") == F.col("p.model"))
+    return both.select(
+        "p.model", "p.n_test", "p.n_positive",
+        (agree[0] & agree[1] & agree[2] & agree[3]).alias("metrics_agree"),
+    )
+
+
 @query("m7_trained_with_smote")
 def m7(spark, d):
     data = split_vectors(spark, d)
