@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions.bands import rate_band
-from ..operators import text as ot, topics as tp
-from ..plans.topics import topic_study
+from ..operators import density, text as ot, topics as tp
+from ..plans.topics import cluster_study, topic_study
 from ..session import materialize
 from .common import documents, r6, sql_r6, table, with_docs
 
@@ -423,6 +423,49 @@ def x9(spark, d):
     return tp.topic_sizes(tp.cluster_topics(vectors, min_size=size))
 
 
+#: Three sums of a vector's coordinates, radius and least neighbours of its clusters.
+DENSITY_EPS, DENSITY_POINTS, DENSITY_SIZE = 0.2, 5, 5
+
+
+def _sum_of_thirds(at: int):
+    every_third = F.filter("embedding", lambda x, i: i % 3 == at)
+    return F.aggregate(every_third, F.lit(0.0), lambda s, x: s + x.cast("double"))
+
+
+@query(
+    "x9_density_topics",
+    f"""WITH RECURSIVE p AS (SELECT vec_id AS doc_id, {', '.join(
+          f"list_sum(list_transform(range({at}, len(embedding), 3), lambda i: embedding[i + 1]::DOUBLE)) AS x{at}"
+          for at in range(3))} FROM embeddings),
+        near AS (SELECT a.doc_id AS a, b.doc_id AS b, {' + '.join(
+          f"(a.x{at} - b.x{at}) * (a.x{at} - b.x{at})" for at in range(3))} AS d
+          FROM p a, p b WHERE d <= {DENSITY_EPS}::DOUBLE * {DENSITY_EPS}::DOUBLE),
+        core AS (SELECT a AS doc_id FROM near GROUP BY a HAVING count(*) >= {DENSITY_POINTS}),
+        links AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
+        reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        named AS (SELECT a AS doc_id, min([x0, x1, x2]) AS name FROM reach JOIN p ON b = doc_id GROUP BY a),
+        edge AS (SELECT a AS doc_id, arg_min(name, (d, name)) AS name FROM near JOIN named ON b = doc_id
+          WHERE a NOT IN (FROM core) GROUP BY a),
+        placed AS (SELECT doc_id, name FROM named UNION ALL SELECT doc_id, name FROM edge),
+        topics AS (SELECT name, row_number() OVER (ORDER BY count(*) DESC, name) - 1 AS topic_id
+          FROM placed GROUP BY name HAVING count(*) >= {DENSITY_SIZE})
+        SELECT p.doc_id, CAST(coalesce(topic_id, -1) AS INTEGER) AS topic_id,
+          p.doc_id IN (FROM core) AS core
+        FROM p LEFT JOIN placed USING (doc_id) LEFT JOIN topics USING (name)""",
+)
+def x9_density(spark, d):
+    points = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), F.array(*[_sum_of_thirds(at) for at in range(3)]).alias("embedding")
+    )
+    return density.density_clusters(points, DENSITY_EPS, DENSITY_POINTS, DENSITY_SIZE)
+
+
+@query("x9_density_topic_words")
+def x9_density_words(spark, d):
+    study = cluster_study(documents(spark, d), eps=0.05, n_components=3)
+    return study["words"].withColumn("weight", r6(F.col("weight")))
+
+
 @query(
     "x9_class_tfidf",
     with_docs(
