@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
 from . import vectors
 
 #: Pivots (vectors of smallest hash: a bounded sample) and how many of the nearest
 #: represent a vector.
-PIVOTS, NEAREST = 512, 64
+PIVOTS, NEAREST = 512, 128
 
 #: Share of a block that is compared by its vectors after ranking by footrule, and
 #: the least number of candidates of a block.
@@ -33,19 +37,68 @@ def inverted(order: np.ndarray, pivots: int) -> dict:
     }
 
 
-def candidates(order: np.ndarray, row: dict, n: int, m: int, take: int) -> np.ndarray:
+def candidates(order: np.ndarray, row: dict, lengths: np.ndarray, m: int, take: int) -> np.ndarray:
     """Rows of a block with the least footrule distance to a query's permutation.
 
     A pivot that a row does not have counts as displaced by m; the distance is then
-    m * m less what the shared pivots save.  Ties go to the earlier row.
+    m * m less what the shared pivots save.  Permutations know directions only, and an
+    inner product grows with the length too: what is saved counts by the row's length
+    (among rows of one length the order is that of the distance).  Ties go to the
+    earlier row.
     """
     starts = np.frombuffer(row["starts"], "<i4")
     posted, ranks = np.frombuffer(row["posted"], "<u2"), np.frombuffer(row["ranks"], "u1")
-    saved = np.zeros(n, np.int16)
+    saved = np.zeros(len(lengths), np.int16)
     for rank, pivot in enumerate(order):
         a, b = starts[pivot], starts[pivot + 1]
         saved[posted[a:b]] += (m - np.abs(ranks[a:b].astype(np.int16) - rank)).astype(np.int16)
-    return np.argsort(-saved, kind="stable")[:take]
+    return np.argsort(-saved * lengths, kind="stable")[:take]
+
+
+def distinct_vectors(every: DataFrame, k: int) -> DataFrame:
+    """(v, ids): each vector once with its k + 1 smallest ids, ascending, an id as
+    often as it repeats but k times at most.
+
+    Rows of a vector are counted by id and cut to k + 1 ids within each task, before
+    they meet, so one vector that many rows share does not load a task.
+    """
+    counted = every.groupBy("v", "vec_id").agg(F.count(F.lit(1)).alias("n"))
+    by_id = Window.partitionBy("v").orderBy("vec_id")
+    first = counted.withColumn("at", F.row_number().over(by_id)).where(F.col("at") <= k + 1)
+    ids = F.sort_array(F.flatten(F.collect_list(F.array_repeat("vec_id", F.least("n", F.lit(k)).cast("int")))))
+    return materialize(first.groupBy("v").agg(ids.alias("ids")), "distinct-vectors")
+
+
+def indexed_blocks(distinct: DataFrame, dim: int, pivots: np.ndarray, m: int) -> DataFrame:
+    """Write (v, ids) as rows of about ``BLOCK_ROWS`` vectors with their posting lists;
+    ``members`` says where each vector's ids start."""
+    distinct.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    least = vectors.BLOCK_ROWS
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids = [batch.column("ids") for batch in held]
+        ends = np.concatenate([np.array([0])] + [np.diff(x.offsets.to_numpy()) for x in ids]).cumsum()
+        matrix = np.concatenate([vectors.as_arrow_rows(batch, "v", dim) for batch in held])
+        return pa.RecordBatch.from_pylist([{
+            "ids": np.concatenate([x.flatten().to_numpy() for x in ids]).astype("<i8").tobytes(),
+            "members": ends.astype("<i4").tobytes(),
+            "data": np.ascontiguousarray(matrix, "<f8").tobytes(),
+            **inverted(nearest_pivots(matrix, pivots, m), len(pivots)),
+        }])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.num_rows for x in held) >= least:
+                yield block(held)
+                held = []
+        if held:
+            yield block(held)
+
+    schema = "ids binary, members binary, data binary, starts binary, posted binary, ranks binary"
+    return materialize(distinct.mapInArrow(run, schema), "index")
 
 
 def search(
@@ -59,49 +112,61 @@ def search(
     padded with zeros; an id that repeats is one query and several candidates; a
     query's own id is no candidate.  Fewer than k candidates give fewer rows.
 
-    Every vector is indexed.  The index is cut into blocks of rows, each with its
-    own posting lists, so a pivot that a third of all vectors share costs each block
-    at most its own rows; identical vectors keep the order of their ids.
+    Every vector is indexed, equal ones once: they share their k + 1 smallest ids (an
+    id as often as it repeats, k times at most), more than a list of k can use.  So
+    copies do not take the places of other candidates.  The index is cut into blocks
+    of distinct vectors, each with its own posting lists, so a pivot that a third of
+    all vectors share costs each block at most its own rows.
+
+    ``share`` of a block is reranked, and ``LEAST`` vectors at least: a block of no
+    more than that is compared as a whole.
     """
-    spark = df.sparkSession
     v = F.transform("embedding", lambda x: x.cast("double"))
     good = df.where(F.col("vec_id").isNotNull() & vectors.usable(F.col("embedding"))).where(
         F.exists("embedding", lambda x: x != 0)
     )
     every = good.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), is_query.alias("asks"))
     dim = vectors.dimension(every)
-    sample = every.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(2 * pivots).collect()
-    distinct = dict.fromkeys(tuple(r.v) + (0.0,) * (dim - len(r.v)) for r in sample)
-    kept = list(distinct)[:pivots]
-    chosen = np.array(kept).reshape(len(kept), dim)
+    zeros = F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("v"))
+    every = every.withColumn("v", F.concat("v", zeros))
+    distinct = distinct_vectors(every, k)
+    sample = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
+    chosen = np.array([r.v for r in sample]).reshape(len(sample), dim)
     m = min(nearest, len(chosen))
 
-    def index(_ids: np.ndarray, matrix: np.ndarray) -> dict:
-        return inverted(nearest_pivots(matrix, chosen, m), len(chosen))
-
     def permutation(_ids: np.ndarray, matrix: np.ndarray) -> dict:
         return {"order": nearest_pivots(matrix, chosen, m).astype("<u2").tobytes()}
 
-    ordered = every.repartition("vec_id").sortWithinPartitions("vec_id", "v")
-    rows = vectors.blocks(
-        ordered, dim, vectors.BLOCK_ROWS, "index", index, "starts binary, posted binary, ranks binary"
-    )
+    rows = indexed_blocks(distinct, dim, chosen, m)
     asked = vectors.one_row_per_id(every.where("asks"))
     queries = vectors.blocks(asked, dim, vectors.QUERY_ROWS, "queries", permutation, "order binary")
 
     def look(q: dict, r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, data = vectors.row_ids(r), vectors.row_data(r, dim)
+        members, starts = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["members"], "<i4")
+        data = np.frombuffer(r["data"], "<f8").reshape(len(starts) - 1, dim)
         asking, wanted = vectors.row_ids(q), vectors.row_data(q, dim)
         orders = np.frombuffer(q["order"], "<u2").reshape(len(asking), m)
-        take = max(LEAST, int(np.ceil(share * len(ids))))
+        take = max(LEAST, int(np.ceil(share * len(data))))
+        part = data / np.abs(data).max()  # so that no square is beyond a double
+        lengths = np.sqrt((part * part).sum(1))
         found = []
         for own, vector, order in zip(asking, wanted, orders):
-            near = candidates(order, r, len(ids), m, take)
-            near = near[ids[near] != own]
+            near = candidates(order, r, lengths, m, take)
+            # The smallest id other than the query's own; vectors without one go.
+            first, last = members[starts[near]], members[starts[near + 1] - 1]
+            near, first = near[(first != own) | (last != own)], first[(first != own) | (last != own)]
+            for at in np.flatnonzero(first == own):
+                mine = members[starts[near[at]] : starts[near[at] + 1]]
+                first[at] = mine[mine != own][0]
             # A sum along each row, so equal vectors get equal scores.
             score = (data[near] * vector).sum(1)
-            top = np.lexsort((ids[near], -score))[:k]
-            found.append((np.full(len(top), own), ids[near[top]], score[top]))
+            top = np.lexsort((first, -score))[:k]
+            ids = [members[starts[i] : starts[i + 1]] for i in near[top]]
+            score = np.repeat(score[top], [len(x) for x in ids])
+            ids = np.concatenate([np.empty(0, np.int64), *ids])
+            ids, score = ids[ids != own], score[ids != own]
+            top = np.lexsort((ids, -score))[:k]
+            found.append((np.full(len(top), own), ids[top], score[top]))
         return tuple(np.concatenate(x) for x in zip(*found))
 
     return vectors.best(vectors.against(queries, rows, look, "double"), k)

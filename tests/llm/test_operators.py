@@ -302,14 +302,39 @@ def test_permutation_index(spark):
     assert permutation_index.search(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_permutation_index_recall(spark, monkeypatch):
-    """With the candidates cut to 12 % at any size."""
-    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").cache()
+@pytest.mark.parametrize("kind", ["plain", "unequal", "third", "half"])
+def test_permutation_index_recall(spark, monkeypatch, kind):
+    """With the candidates cut to 12 % at any size: 2,000 vectors as they are, of
+    unequal lengths, and with a third and a half of the rows copies of one."""
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()
+    matrix = np.array(given.embedding.tolist(), dtype=float)
+    if kind == "unequal":
+        matrix *= np.random.default_rng(1).uniform(0.5, 2, len(matrix))[:, None]
+    if kind in ("third", "half"):
+        step = {"third": 3, "half": 2}[kind]
+        matrix[1::step] = matrix[1]
+    df = spark.createDataFrame(list(zip(given.vec_id.tolist(), matrix.tolist())), "vec_id bigint, embedding array<double>")
     monkeypatch.setattr(permutation_index, "LEAST", 20)
-    ask = F.col("vec_id") % 10 == 0
-    found = {(r.query_id, r.vec_id) for r in permutation_index.search(df, ask, k=5).collect()}
-    every = {(r.query_id, r.vec_id) for r in permutation_index.search(df, ask, k=5, share=1.0).collect()}
-    assert len(found & every) >= 0.9 * len(every)
+    got = defaultdict(list)
+    for r in permutation_index.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    ids = given.vec_id.to_numpy()
+    caught = []
+    for at in np.flatnonzero(ids % 20 == 0):
+        score = (matrix * matrix[at]).sum(1)
+        best = [i for i in ids[np.lexsort((ids, -score))] if i != ids[at]][:20]
+        caught.append(len(set(best) & set(got[ids[at]])) / 20)
+    assert len(got) == len(caught)
+    assert np.mean(caught) >= 0.9 and min(caught) >= 0.5, (np.mean(caught), min(caught))
+
+
+def test_permutation_index_keeps_ids_of_equal_vectors(spark):
+    """Own ids that repeat, in one vector and in several, take no place of others."""
+    one, other = [1.0, 0.0], [0.9, 0.1]
+    rows = [(20, one)] * 9 + [(20, other)] * 9 + [(i, one) for i in range(101, 109)] + [(7, other), (7, other), (8, other)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = permutation_index.search(df, F.col("vec_id") == 20, k=10).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [*range(101, 109), 7, 7]
 
 
 @pytest.mark.parametrize("few", [True, False])
