@@ -37,22 +37,37 @@ def inverted(order: np.ndarray, pivots: int) -> dict:
     }
 
 
-def candidates(order: np.ndarray, row: dict, lengths: np.ndarray, m: int, take: int) -> np.ndarray:
+def opened(row: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A block's posting lists: for each pivot its rows and the rank they give it, in
+    the types that numpy indexes with."""
+    starts = np.frombuffer(row["starts"], "<i4")
+    posted = np.frombuffer(row["posted"], "<u2").astype(np.intp)
+    ranks = np.frombuffer(row["ranks"], "u1").astype(np.int16)
+    return [(posted[a:b], ranks[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+
+
+def candidates(order: np.ndarray, postings: list, lengths: np.ndarray, m: int, take: int) -> np.ndarray:
     """Rows of a block with the least footrule distance to a query's permutation.
 
     A pivot that a row does not have counts as displaced by m; the distance is then
     m * m less what the shared pivots save.  Permutations know directions only, and an
     inner product grows with the length too: what is saved counts by the row's length
     (among rows of one length the order is that of the distance).  Ties go to the
-    earlier row.
+    earlier row; the rows come in no order.
     """
-    starts = np.frombuffer(row["starts"], "<i4")
-    posted, ranks = np.frombuffer(row["posted"], "<u2"), np.frombuffer(row["ranks"], "u1")
-    saved = np.zeros(len(lengths), np.int16)
+    n = len(lengths)
+    if take >= n:
+        return np.arange(n)
+    saved = np.zeros(n, np.int16)
+    # What a row saves at each rank apart from the query's.
+    worth = (m - np.abs(np.arange(-m, m))).astype(np.int16)
     for rank, pivot in enumerate(order):
-        a, b = starts[pivot], starts[pivot + 1]
-        saved[posted[a:b]] += (m - np.abs(ranks[a:b].astype(np.int16) - rank)).astype(np.int16)
-    return np.argsort(-saved * lengths, kind="stable")[:take]
+        rows, ranks = postings[pivot]
+        saved[rows] += worth[m - rank :].take(ranks)
+    key = saved * lengths
+    least = np.partition(key, n - take)[n - take]
+    above, equal = np.flatnonzero(key > least), np.flatnonzero(key == least)
+    return np.concatenate([above, equal[: take - len(above)]])
 
 
 def distinct_vectors(every: DataFrame, k: int) -> DataFrame:
@@ -145,13 +160,14 @@ def search(
         members, starts = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["members"], "<i4")
         data = np.frombuffer(r["data"], "<f8").reshape(len(starts) - 1, dim)
         asking, wanted = vectors.row_ids(q), vectors.row_data(q, dim)
+        postings = opened(r)
         orders = np.frombuffer(q["order"], "<u2").reshape(len(asking), m)
         take = max(LEAST, int(np.ceil(share * len(data))))
         part = data / np.abs(data).max()  # so that no square is beyond a double
         lengths = np.sqrt((part * part).sum(1))
         found = []
         for own, vector, order in zip(asking, wanted, orders):
-            near = candidates(order, r, lengths, m, take)
+            near = candidates(order, postings, lengths, m, take)
             # The smallest id other than the query's own; vectors without one go.
             first, last = members[starts[near]], members[starts[near + 1] - 1]
             near, first = near[(first != own) | (last != own)], first[(first != own) | (last != own)]
