@@ -121,6 +121,28 @@ def test_wavelet_directory(docs, empty, monkeypatch, shard_tokens):
     assert wavelet.token_directory(empty, BYTE_BPE).count() == 0
 
 
+def test_a_written_shard_answers(spark, docs, tmp_path):
+    """One file opened alone gives access, counts and occurrences of its tokens."""
+    wavelet.write_shards(docs, BYTE_BPE, f"{tmp_path}/shards")
+    shards = spark.read.schema(wavelet.SHARD).parquet(f"{tmp_path}/shards").collect()
+    shard = max(shards, key=lambda r: r.n_tokens)
+    matrix = wavelet.WaveletMatrix(shard.n_tokens, shard.zeros, shard.planes, shard.ranks)
+    texts = defaultdict(list)
+    for r in rows():
+        texts[r[0]].append(whole_ids(r[1]) + [0])
+    found, at = [], 0
+    for doc_id, length in zip(shard.doc_ids, shard.lengths):
+        mine = [matrix.access(i) for i in range(at, at + length)]
+        assert mine in texts[doc_id]
+        found, at = found + mine, at + length
+    assert at == shard.n_tokens
+    for token in {*found[:5], 0, max(found)}:
+        places = [i for i, x in enumerate(found) if x == token]
+        assert matrix.count(token) == len(places)
+        assert matrix.count(token, 3, at - 2) == sum(3 <= i < at - 2 for i in places)
+        assert [matrix.select(token, k) for k in range(len(places))] == places
+
+
 def dropped_lines(table: list[tuple], min_docs: int = 3, size: int = 20) -> list[tuple]:
     def key(line):
         return "".join(c.lower() if c.isascii() else c for c in line.strip(common.SPACE))
@@ -292,6 +314,40 @@ def finite(v):
     return v is not None and all(x is not None and np.isfinite(x) for x in v)
 
 
+def test_quality_trees_walk_as_scored():
+    """The gathers over flat arrays against a walk of each tree, node by node."""
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(400, len(quality.FEATURES))), 1)
+    model = quality.HistogramTrees(rounds=12, depth=3).fit(x, (x[:, 2] * x[:, 5] > x[:, 0]).astype(float))
+
+    def walk(row) -> float:
+        margin = model.base
+        for feature, value, leaf in zip(model.feature, model.value, model.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + int(row[feature[node]] > value[node])
+            margin += leaf[node - len(feature)]
+        return 1 / (1 + np.exp(-margin))
+
+    assert len(model.feature) == 12 and len(np.unique(model.feature)) > 3
+    np.testing.assert_allclose(model.score(x), [walk(row) for row in x], rtol=0, atol=1e-12)
+
+
+def test_quality_statistics_by_plain_counts():
+    text = "One two TWO two\n\nsix 42!\n" + "é" * 3
+    got = dict(zip(quality.FEATURES, quality.statistics(text)))
+    n = len(text.encode())
+    words = text.encode().split()
+    want = {
+        "bytes": n, "words": 7, "lines": 4, "word_max": 6, "word_mean": sum(map(len, words)) / 7,
+        "distinct_words": 6 / 7, "top_word": 2 / 7, "distinct_pairs": 6 / 7, "distinct_lines": 1, "line_max": 15,
+        "upper": 4 / n, "digit": 2 / n, "space": 4 / n, "newline": 3 / n, "beyond_ascii": 6 / n, "sign": 1 / n,
+        "sign_33": 1 / n,
+    }
+    assert {k: round(got[k], 12) for k in want} == {k: round(v, 12) for k, v in want.items()}
+    assert quality.statistics("") == [0.0] * len(quality.FEATURES)
+
+
 def test_permutation_index(spark):
     df, data = vectors(spark)
     got = permutation_index.search(df, F.col("vec_id") % 20 == 0, k=5, share=1.0)
