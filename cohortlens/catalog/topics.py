@@ -418,7 +418,6 @@ def x12(spark, d):
 @query("x9_cluster_topics")
 def x9(spark, d):
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    vectors = vectors.persist()
     size = tp.min_topic_size(vectors.count(), 20)
     return tp.topic_sizes(tp.cluster_topics(vectors, min_size=size))
 
