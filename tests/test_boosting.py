@@ -147,3 +147,15 @@ def test_several_tables_and_one_class(spark):
     alone = bo.fit_many([two], "label", ["row_id"], [bo.Fit(bo.Settings(rounds=2), "w")])[0]
     assert alone.flat() == models[1].flat()
     assert all(len(t["left"]) >= 1 for t in models[2].flat())
+
+
+def test_order_of_blocks_is_fixed(spark):
+    x, y = data()
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # many blocks
+    try:
+        fits = [bo.Fit(bo.Settings(rounds=4), "w")]
+        made = [bo.fit_many([frame(spark, x, y).repartition(n)], "label", ["row_id"], fits)[0].flat() for n in (3, 7)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert made[0] == made[1]
