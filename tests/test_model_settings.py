@@ -55,3 +55,16 @@ def test_metrics_sql_states_the_rule_of_the_split(spark, tmp_path):
     # Three of thirteen rows; rounding each class by itself gave two.
     stated = con.execute(models.SQL["m9_metrics_of_models"]).fetchall()
     assert {tuple(r[1:3]) for r in stated} == {tuple(ours)} == {(3, 1)}
+
+
+def test_forest_meets_few_partitions(spark):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from cohortlens.operators import train as tr
+
+    x = array_to_vector(F.array(F.col("id").cast("double"), F.lit(1.0)))
+    rows = spark.range(0, 2000, 1, 64).select((F.col("id") % 2).cast("int").alias("label"), x.alias("features"))
+    assert tr.forest_rows(rows, "features").rdd.getNumPartitions() == 1
+    model = tr.train_model("random_forest", rows, "label", params={"numTrees": 3, "maxDepth": 4})
+    assert model.getOrDefault("cacheNodeIds") and model.getNumTrees == 3
