@@ -71,7 +71,9 @@ def balanced(lengths: list[int], capacity: int) -> list[tuple[int, int, int, int
     return placed
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, words: int | None = None
+) -> DataFrame:
     """Pack all ``docs`` (doc_id, text) into sequences of at most ``capacity`` tokens.
 
     Returns a row per piece: doc_id, start, length, doc_tokens, sequence_id, offset
@@ -81,7 +83,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0)
 
     A task packs its own rows in buffers of ``BUFFER_TOKENS``: no shuffle, memory
     bounded by the buffer and one document, and padding of less than one sequence
-    per buffer.  sequence_id holds the task in its upper bits.
+    per buffer.  sequence_id holds the task in its upper bits.  A worker remembers the
+    ids of ``words`` words at most (None: the encoder's own limit).
     """
     small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
@@ -111,7 +114,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0)
 
         held = 0
         for batch in batches:
-            for doc, found in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode(texts_of(batch))):
+            for doc, found in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer, words).encode(texts_of(batch))):
                 names.append(doc)
                 ids.append(found + end)
                 held += len(ids[-1]) // 4

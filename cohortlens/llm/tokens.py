@@ -6,6 +6,8 @@ import struct
 
 import numpy as np
 
+from .common import Hashes
+
 
 class _Runs(Exception):
     """A text has white space other than single spaces and line ends."""
@@ -75,15 +77,17 @@ class CachedEncoder:
     whose ids are remembered.  A new word of letters (and a full stop or comma after
     letters) is one match, which goes to the library's BPE model directly; other
     parts take the library's whole way.  Texts with runs of white space are cut only
-    where a part ends in something else.  The memory is emptied when it is full,
-    which bounds a worker at any input size.
+    where a part ends in something else.  The memory is emptied when it holds ``limit``
+    parts (some 200 bytes each), which bounds a worker at any input size.
     """
 
     LIMIT = 1_000_000
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, limit: int | None = None) -> None:
         import os
 
+        self.limit = limit or self.LIMIT
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -104,7 +108,7 @@ class CachedEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.words) > self.LIMIT:
+        if len(self.words) > self.limit:
             self.words.clear()
         look = self.words.__getitem__
         out = []
@@ -122,8 +126,11 @@ class CachedEncoder:
 _ENCODERS: dict[str, CachedEncoder] = {}
 
 
-def encoder(path: str) -> CachedEncoder:
-    """One encoder per worker and file."""
+def encoder(path: str, limit: int | None = None) -> CachedEncoder:
+    """One encoder per worker and file; the last ``limit`` asked for counts.  Hashes that
+    the worker remembers from an earlier stage are given up for a new one."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = CachedEncoder(path)
+        Hashes.forget()
+        _ENCODERS[path] = CachedEncoder(path, limit)
+    _ENCODERS[path].limit = limit or CachedEncoder.LIMIT
     return _ENCODERS[path]

@@ -60,3 +60,22 @@ def test_packing(stages):
     for r in sorted(stages[5], key=lambda r: r["start"]):
         found.setdefault(r["doc_id"], []).extend(np.frombuffer(r["ids"], "<u4").tolist())
     assert found == tokens
+
+
+def test_packing_remembers_few_words(tmp_path):
+    from cohortlens.llm import tokens
+    from cohortlens.llm.common import Hashes
+
+    hashes = Hashes()
+    hashes.of([b"one", b"two"])
+    tokens._ENCODERS.pop(corpus_pipeline.BYTE_BPE, None)
+    encoder = tokens.encoder(corpus_pipeline.BYTE_BPE, 100)
+    assert not hashes  # of an earlier stage
+    texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}" for i in range(60)) for k in range(20)]
+    found = []
+    for text in texts:
+        found += encoder.encode([text])
+        assert len(encoder.words) <= 100 + 2 * 60
+    assert tokens.encoder(corpus_pipeline.BYTE_BPE).limit == tokens.CachedEncoder.LIMIT
+    assert found == encoder.encode(texts)
+    assert corpus_pipeline.PACK_WORDS < tokens.CachedEncoder.LIMIT
