@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, types as T
 from . import repeats
 from .common import Hashes, mix, without
 
-#: Rounds of naming.  A round shortens prose by about a quarter.
-ROUNDS = 7
+#: Rounds of naming.  A round shortens prose by about a quarter.  With more of them a window
+#: holds so few whole symbols that neighbouring windows no longer share the least.
+ROUNDS = 5
 
 #: Neighbouring symbols that make an anchor.  Windows that do not hold so many of
 #: the last round use those of an earlier round; words are the earliest.
@@ -107,9 +108,26 @@ def _starts(starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarr
     return starts[owner] + inside, owner
 
 
+def _least_of(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Place of the least value from ``first`` to ``last`` of each range, the first one of
+    equal ones: minima of spans of powers of two, of which two cover a range."""
+    bits = np.uint64(max(24, len(values).bit_length()))
+    spans = (values >> bits << bits) | np.arange(len(values), dtype=np.uint64)
+    out = np.empty(len(first), np.uint64)
+    size, width = 1, last - first + 1
+    while True:
+        now = np.flatnonzero((width >= size) & (width < 2 * size))
+        out[now] = np.minimum(spans[first[now]], spans[last[now] - size + 1])
+        if not (width >= 2 * size).any():
+            return (out & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        spans = np.minimum(spans[:-size], spans[size:])
+        size *= 2
+
+
 def anchors(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window the first NEIGHBOURS symbols in a row, of the highest level at
-    which they depend on its words only, and the runs of windows with the same ones."""
+    """For each window, of NEIGHBOURS symbols in a row those of least name, of the highest
+    level at which some depend on its words only, and the runs of windows with the same
+    ones.  Windows that overlap mostly share the least, so anchors are few."""
     names, starts, ends = _joined(texts)
     at, owner = _starts(starts, ends, length)
     if not len(at):
@@ -119,18 +137,21 @@ def anchors(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.n
     chosen = np.zeros(len(at), np.int64)
     todo = np.arange(len(at))
     found = levels(names, ends)
+    more = min(NEIGHBOURS, length) - 1
     for level in range(len(found) - 1, -1, -1):
         symbols = found[level]
         first = np.searchsorted(symbols.low, at[todo], "left")
-        last = first + min(NEIGHBOURS, length) - 1
-        clipped = np.minimum(last, len(symbols.name) - 1)
-        fits = (last < len(symbols.name)) & (symbols.high[clipped] <= at[todo] + length)
+        last = np.searchsorted(symbols.high, at[todo] + length, "right") - 1 - more
+        fits = last >= first
         done, first, last = todo[fits], first[fits], last[fits]
-        name = np.full(len(done), level, np.uint64)
-        for k in range(min(NEIGHBOURS, length)):
-            name = mix(name * _ODD + symbols.name[first + k])
-        key[done] = name
-        chosen[done] = first * len(found) + level
+        if len(done):
+            size = len(symbols.name) - more
+            name = np.full(size, level, np.uint64)
+            for k in range(more + 1):
+                name = mix(name * _ODD + symbols.name[k : k + size])
+            least = _least_of(name, first, last)
+            key[done] = name[least]
+            chosen[done] = least * len(found) + level
         todo = todo[~fits]
         if not len(todo):
             break

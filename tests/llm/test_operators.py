@@ -588,3 +588,10 @@ def test_equal_windows_have_equal_anchors():
         for k, o, a, b in zip(key, owner, low, high):
             for s in range(a, b + 1):
                 assert seen.setdefault(prints[o][s], k) == k
+
+
+def test_windows_that_overlap_share_their_anchor():
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randint(0, 3000)}" for _ in range(2000)) for _ in range(5)]
+    key, *_ = recompression.anchors(texts, 50)
+    assert len(key) < 10_000 / 11
