@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
 from .common import Hashes, components, mix, sized_broadcast, small_batches, texts_of
@@ -18,7 +18,13 @@ BANDS, WIDTH = 32, 5
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _HASHES = Hashes()
 
-SETS = "doc_id bigint, n_shingles bigint, g bigint, h bigint, bands array<bigint>, low array<tinyint>"
+#: Words of 64 parities that a set is summed up in.
+PARITIES = 16
+
+SETS = (
+    "doc_id bigint, n_shingles bigint, g bigint, h bigint, bands array<bigint>, low array<tinyint>,"
+    " odd array<bigint>"
+)
 
 #: Share of equal registers below which a pair that shares a bucket is not checked.
 #: At similarity 0.8 the share of 160 registers is 6 standard deviations above it.
@@ -84,6 +90,27 @@ def bands_of(registers: np.ndarray, bands: int, width: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """PARITIES longs for each set: a bit says whether an odd number of shingles fell on
+    it.  Two sets differ in at least as many shingles as bits."""
+    n, bits = len(sets), 64 * PARITIES
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    element = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    spot = owner * bits + (element % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(spot, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8").reshape(n, PARITIES)
+
+
+def _may_be_linked(threshold: int) -> Column:
+    """Whether the parities of a pair (n, odd; m, odd_b) leave the threshold in reach.  At
+    or above it at most (n + m) * (100 - threshold) / (100 + threshold) shingles differ,
+    so no link is lost."""
+    differing = sum(
+        F.bit_count(F.col("odd")[i].bitwiseXOR(F.col("odd_b")[i])).cast("bigint") for i in range(PARITIES)
+    )
+    return differing * (100 + threshold) <= (F.col("n") + F.col("m")) * (100 - threshold)
+
+
 def least_size(threshold: int) -> int:
     """Sets below this size are similar only to equal sets."""
     size = 1
@@ -100,8 +127,10 @@ def _sketch(words: int, bands: int, width: int, least: int):
             registers = signatures([sets[i] for i in large], bands * width)
             lists: list = [[]] * len(sets)
             lows: list = [[]] * len(sets)
-            for i, row, low in zip(large, bands_of(registers, bands, width), registers.astype(np.int8)):
-                lists[i], lows[i] = row, low
+            odds: list = [[]] * len(sets)
+            odd = parities([sets[i] for i in large])
+            for i, row, low, bits in zip(large, bands_of(registers, bands, width), registers.astype(np.int8), odd):
+                lists[i], lows[i], odds[i] = row, low, bits
             prints = _prints(sets)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -111,8 +140,9 @@ def _sketch(words: int, bands: int, width: int, least: int):
                     pa.array(prints[:, 1]),
                     pa.array(lists, pa.list_(pa.int64())),
                     pa.array(lows, pa.list_(pa.int8())),
+                    pa.array(odds, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "g", "h", "bands", "low"],
+                names=["doc_id", "n_shingles", "g", "h", "bands", "low", "odd"],
             )
 
     return run
@@ -169,7 +199,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, bands:
     of class and bucket, so a class meets different ones in its buckets; checked
     links are merged.  A bucket that still holds several components then has pairs
     across components checked, and no others: those whose registers agree often
-    enough.  Sizes that cannot reach the threshold are never paired.  All checks
+    enough and whose parities do not rule out a link.  Sizes that cannot reach the threshold are never paired.  All checks
     compare full sets.
     """
     spark = docs.sparkSession
@@ -181,15 +211,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, bands:
     classes = materialize(
         sketched.where("n_shingles > 0").groupBy("g", "h").agg(
             F.min("did").alias("did"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
-            F.first("low").alias("low"),
-        ).select("g", "h", F.struct("did", "g").alias("id"), "n", "bands", "low"),
+            F.first("low").alias("low"), F.first("odd").alias("odd"),
+        ).select("g", "h", F.struct("did", "g").alias("id"), "n", "bands", "low", "odd"),
         "classes",
     )
     posted = classes.where(F.col("n") >= least).select("id", "n", F.explode("bands").alias("key"))
+    # Nearly all buckets hold one class: they leave with their key alone.  Tables are written
+    # first, so that a join has two plain sides, of which hot keys can be split.
+    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    posted = materialize(posted.join(sized_broadcast(materialize(shared, "shared")), "key"), "buckets")
     drawn = F.struct(F.xxhash64("key", "id"), "id", "n")
-    first = posted.groupBy("key").agg(F.min(drawn).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    # Written first, so that the join has two plain sides, of which hot keys can be split.
-    first = sized_broadcast(materialize(first.drop("c"), "pivots"))
+    first = sized_broadcast(materialize(posted.groupBy("key").agg(F.min(drawn).alias("p")), "pivots"))
     similar_size = (F.least("n", "m") * 100 >= F.greatest("n", "m") * threshold)
     star = materialize(
         posted.join(first, "key")
@@ -222,10 +254,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, bands:
     mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("u")).where("l <> u").select("key")
     mixed = sized_broadcast(materialize(mixed, "mixed"))
     open_rows = materialize(labelled.join(mixed, "key").select("key", "id", "n", "label").distinct(), "open")
-    registers = classes.join(sized_broadcast(materialize(open_rows.select("id").distinct(), "ids")), "id").select("id", "low")
+    registers = classes.join(sized_broadcast(materialize(open_rows.select("id").distinct(), "ids")), "id").select("id", "low", "odd")
     open_rows = materialize(open_rows.join(registers, "id"), "open")
     other = open_rows.select(
-        "key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("low").alias("low_b")
+        "key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"), F.col("low").alias("low_b"),
+        F.col("odd").alias("odd_b"),
     )
     equal = F.aggregate(
         F.zip_with("low", "low_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x
@@ -233,7 +266,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, bands:
     across = (
         open_rows.withColumnRenamed("id", "a")
         .join(other, "key")
-        .where((F.col("label") < F.col("label_b")) & similar_size & (equal >= int(AGREEING * bands * width)))
+        .where((F.col("label") < F.col("label_b")) & similar_size & _may_be_linked(threshold))
+        .where(equal >= int(AGREEING * bands * width))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     across = materialize(across.join(star, ["a", "b"], "left_anti"), "across")

@@ -595,3 +595,18 @@ def test_windows_that_overlap_share_their_anchor():
     texts = [" ".join(f"w{r.randint(0, 3000)}" for _ in range(2000)) for _ in range(5)]
     key, *_ = recompression.anchors(texts, 50)
     assert len(key) < 10_000 / 11
+
+
+def test_parities_rule_out_no_link(spark):
+    r = np.random.default_rng(8)
+    base = r.integers(0, 2**63, 150, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[k:], r.integers(0, 2**63, k, dtype=np.uint64)])) for k in (0, 5, 16, 17, 28, 60)]
+    sets.append(np.unique(r.integers(0, 2**63, 40, dtype=np.uint64)))
+    rows = [(i, len(s), odd.tolist()) for i, (s, odd) in enumerate(zip(sets, superminhash.parities(sets)))]
+    one = spark.createDataFrame(rows, "a int, n bigint, odd array<bigint>")
+    two = spark.createDataFrame(rows, "b int, m bigint, odd_b array<bigint>")
+    kept = {(x.a, x.b) for x in one.crossJoin(two).where(superminhash._may_be_linked(80)).collect()}
+    alike = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    near = {(i, j): alike(a, b) for i, a in enumerate(sets) for j, b in enumerate(sets)}
+    assert {p for p, share in near.items() if share >= 0.8} <= kept
+    assert not {p for p, share in near.items() if share < 0.7} & kept
