@@ -1,5 +1,9 @@
 """Topic queries hand the operators no smaller work than the operators' defaults."""
 
+import threading
+
+import numpy as np
+
 from cohortlens.catalog import topics as queries
 from cohortlens.operators import text as ot, topics as tp
 
@@ -58,3 +62,21 @@ def test_models_are_trained_at_the_defaults(spark, monkeypatch):
 def test_vocabulary_keeps_rare_terms(spark, monkeypatch):
     args, kwargs = seen(monkeypatch, ot, "fit_vocabulary", spark, "x4_optimal_topics")
     assert args[4] == 100_000
+
+
+def test_models_of_a_grid_are_fitted_at_one_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ["a", "b", "c", "d"][: 1 + i % 4]) for i in range(12)], "doc_id long, tokens array<string>")
+    vocab = ot.fit_vocabulary(docs, "tokens", 1, 1.0, 10)
+    vectors = ot.count_vectors(docs, "tokens", vocab).persist()
+    alone = {k: tp.train_lda(vectors, k, passes=1, subsampling=0.5).topicsMatrix() for k in (2, 3)}
+    fit, meet = tp.train_lda, threading.Barrier(2)
+
+    def both(*args, **kwargs):
+        meet.wait(60)
+        return fit(*args, **kwargs)
+
+    monkeypatch.setattr(tp, "train_lda", both)
+    best, models, _ = tp.optimal_topics(vectors, docs, vocab, [2, 3], passes=1, subsampling=0.5)
+    assert list(models) == [2, 3] and best in models
+    for k, model in models.items():
+        assert np.allclose(model.topicsMatrix().toArray(), alone[k].toArray())
