@@ -156,8 +156,13 @@ def _frequent(spark, d, group, n, docs=None):
     )
 
 
-def source_words(spark, d, n=15):
-    return _frequent(spark, d, F.substring("source", 4, 10).cast("int"), n)
+def word_table(spark, d):
+    """Tokens with their groups, written once for all that count them."""
+    return materialize(documents(spark, d).select("lang", "source", "tokens"), "tokens")
+
+
+def source_words(spark, d, n=15, docs=None):
+    return _frequent(spark, d, F.substring("source", 4, 10).cast("int"), n, docs)
 
 
 LANGUAGES = ["de", "en", "es", "fr"]
@@ -168,10 +173,10 @@ def language_words(spark, d, n=8, docs=None):
     return _frequent(spark, d, (F.array_position(codes, F.col("lang")) - 1).cast("int"), n, docs)
 
 
-def keywords(spark, d):
+def keywords(spark, d, docs=None):
     """The 40 most frequent words of each language as its category's keywords."""
     names = F.array(*[F.lit(x) for x in LANGUAGES])
-    return language_words(spark, d, 40).select(
+    return language_words(spark, d, 40, docs).select(
         F.get(names, F.col("topic_id")).alias("category"),
         F.col("topic_id").alias("category_order"),
         F.col("word").alias("keyword"),
@@ -198,7 +203,8 @@ hits AS (SELECT sw.topic_id, category, category_order, count(*) AS n
 
 @query("u2_keyword_hits", with_docs(_HITS + " SELECT topic_id, category, n FROM hits"))
 def u2(spark, d):
-    hits = tp.keyword_hits(source_words(spark, d), keywords(spark, d))
+    docs = word_table(spark, d)
+    hits = tp.keyword_hits(source_words(spark, d, docs=docs), keywords(spark, d, docs))
     return hits.select("topic_id", "category", "n")
 
 
@@ -212,7 +218,9 @@ labels_t AS (SELECT topic_id, CASE WHEN category IS NULL THEN 'Topic ' || topic_
 
 @query("x6_topic_labels", with_docs(_LABELS + " SELECT topic_id, label FROM labels_t"))
 def x6(spark, d):
-    return tp.label_topics(source_words(spark, d), keywords(spark, d))
+    docs = word_table(spark, d)
+    words = materialize(source_words(spark, d, docs=docs), "topic-words")  # read twice
+    return tp.label_topics(words, keywords(spark, d, docs))
 
 
 @query(
@@ -230,11 +238,13 @@ def x6(spark, d):
 )
 def w5(spark, d):
     # Odd topics get words no category knows.
-    words = source_words(spark, d).withColumn(
+    docs = word_table(spark, d)
+    words = source_words(spark, d, docs=docs).withColumn(
         "word",
         F.when(F.col("topic_id") % 2 == 0, F.col("word")).otherwise(F.concat("word", F.lit("#"))),
     )
-    return tp.label_topics(words, keywords(spark, d).where(F.col("category") == "en"))
+    words = materialize(words, "topic-words")  # read twice
+    return tp.label_topics(words, keywords(spark, d, docs).where(F.col("category") == "en"))
 
 
 @query(
@@ -360,8 +370,8 @@ _SOURCE_TOP = f"{_SOURCE}, lw AS (SELECT * FROM sw WHERE position < 10)"
     ),
 )
 def x11(spark, d):
-    docs = materialize(documents(spark, d).select("lang", "source", "tokens"), "tokens")
-    words = source_words(spark, d).withColumn("model", F.lit("by_source")).unionByName(
+    docs = word_table(spark, d)
+    words = source_words(spark, d, docs=docs).withColumn("model", F.lit("by_source")).unionByName(
         language_words(spark, d, docs=docs).withColumn("model", F.lit("by_language"))
     )
     return tp.compare_topic_models(words, docs).select("model", "num_topics", "topic_diversity", "coherence_c_v")
