@@ -167,7 +167,8 @@ kept AS (SELECT pairs.a, pairs.b, n_ab, x.n AS n_a, y.n AS n_b,
     with_docs(f", {_WORDS} SELECT a, b, n_ab, n_a, n_b, {sql_r6('score')} AS score FROM kept"),
 )
 def t5(spark, d):
-    out = ot.phrase_scores(documents(spark, d).select("doc_id", "tokens"), 10)
+    docs = materialize(documents(spark, d).select("tokens"), "tokens")
+    out = ot.phrase_scores(docs, 10)
     return out.withColumn("score", r6(F.col("score")))
 
 
@@ -176,7 +177,8 @@ def t5(spark, d):
     with_docs(f", {_WORDS} SELECT a, b, n_ab, {sql_r6('npmi')} AS score FROM kept"),
 )
 def t5_npmi(spark, d):
-    out = ot.phrase_scores(documents(spark, d).select("doc_id", "tokens"), 10, "npmi")
+    docs = materialize(documents(spark, d).select("tokens"), "tokens")
+    out = ot.phrase_scores(docs, 10, "npmi")
     return out.select("a", "b", "n_ab", r6(F.col("score")).alias("score"))
 
 
