@@ -4,6 +4,7 @@ subtraction, all rows at hand."""
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
@@ -159,3 +160,22 @@ def test_order_of_blocks_is_fixed(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert made[0] == made[1]
+
+
+def test_rows_keep_their_leaves_while_a_tree_grows(monkeypatch):
+    x, y = data()
+    bins = np.clip((x + 3) * 10, 0, 63).astype(np.uint8)
+    block = {
+        "block": "0", "table": 0, "n": N, "bins": bins.tobytes(), "y": y.tobytes(), "keys": np.arange(N).tobytes(),
+        "sides": [{"name": "w", "values": np.ones(N).tobytes()}], "margins": [],
+    }
+    walks, plain = [], bo.descend
+    monkeypatch.setattr(bo, "descend", lambda *a: walks.append(1) or plain(*a))
+    fits = [bo.Fit(bo.Settings(rounds=3, leaves=15, depth=None), "w")]
+    key = (pa.scalar(0),)
+    [kept] = bo._grow_here(fits, [WIDTH])(key, iter([pa.RecordBatch.from_pylist([block])]))
+    assert len(walks) <= 3  # a finished tree is walked once for the margins, no tree while it grows
+    sums = bo._sums
+    monkeypatch.setattr(bo, "_sums", lambda b, ask, margin, _: sums(b, ask, margin))
+    [fresh] = bo._grow_here(fits, [WIDTH])(key, iter([pa.RecordBatch.from_pylist([block])]))
+    assert kept.column("trees") == fresh.column("trees")
