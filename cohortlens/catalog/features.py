@@ -218,10 +218,13 @@ def f4(spark, d):
     # Read by every set: cut the lineage once.
     sets = build_feature_sets(materialize(rows, "processed"), label=None)
     out = None
+    # A sparse vector carries its size.
+    parts = F.unwrap_udt("features")
+    size = F.coalesce(parts["size"], F.size(parts["values"]))
     for name in ("tfidf", "structured", "text_stats", "combined"):
         part = sets[name].agg(
             F.count("features").alias("n_rows"),
-            F.max(F.size(vector_to_array("features"))).cast("long").alias("n_features"),
+            F.max(size).cast("long").alias("n_features"),
         ).withColumn("feature_set", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as ft
 from ..operators import cohort as oc, embed as oe, features as of, text as ot
+from ..session import materialize
 
 
 def build_feature_sets(
@@ -32,13 +33,18 @@ def build_feature_sets(
     prior stays already counted over all stays (``utilization``).
     """
     rows = oc.keep_eligible(processed, label) if label else processed
-    fit_on = rows if train is None else rows.join(train.select(row_id), row_id, "left_semi")
     sets: dict[str, DataFrame] = {}
 
-    grams = ft.ngrams(ft.terms(F.array_join("tokens", " ")))
-    vocab = ot.fit_vocabulary(fit_on, grams, **(tfidf or {}))
-    weighted = ot.tfidf_vectors(rows.select(row_id, "tokens"), grams, vocab, out="features")
-    sets["tfidf"] = of.name_vector(weighted.select(row_id, "features"), "features", vocab.terms)
+    def fitted(part: DataFrame) -> DataFrame:
+        return part if train is None else part.join(train.select(row_id), row_id, "left_semi")
+
+    # Terms, text statistics and the sets made from them are read several times.
+    terms = ft.terms(F.array_join("tokens", " ")).alias("terms")
+    words = materialize(rows.select(row_id, terms), "terms")
+    vocab = ot.fit_bigram_vocabulary(fitted(words), F.col("terms"), **(tfidf or {}))
+    weighted = ot.tfidf_vectors(words, ft.ngrams(F.col("terms")), vocab, out="features")
+    weighted = materialize(weighted.select(row_id, "features"), "tfidf")
+    sets["tfidf"] = of.name_vector(weighted, "features", vocab.terms)
 
     if doc_topics is not None:
         vec = rows.select(row_id).join(doc_topics, row_id).select(
@@ -52,7 +58,7 @@ def build_feature_sets(
     if embeddings is not None:
         mine = of.align(rows.select(row_id), embeddings, row_id)
         if reduce_to:
-            base = mine if train is None else of.align(fit_on.select(row_id), embeddings, row_id)
+            base = mine if train is None else of.align(fitted(rows.select(row_id)), embeddings, row_id)
             model = oe.fit_reduction(base, reduce_to)
             sets["embeddings"] = oe.apply_reduction(mine, model).select(row_id, "features")
         else:
@@ -60,10 +66,12 @@ def build_feature_sets(
                 row_id, array_to_vector("embedding").alias("features")
             )
 
-    table = of.structured_features(rows, [row_id], fit_on, **(structured or {}))
+    table = of.structured_features(rows, [row_id], fitted(rows), **(structured or {}))
     sets["structured"] = of.assemble(table, of.STRUCTURED_COLUMNS).select(row_id, "features")
 
-    stats = of.text_statistics_features(rows, [row_id], fit_on, text=text_from, original=original)
+    stats = materialize(of.text_statistics(rows, [row_id], text=text_from, original=original), "text-stats")
+    scaler = of.fit_scaler(fitted(stats), of.TEXT_STATISTICS)
+    stats = of.apply_scaler(stats, scaler, of.TEXT_STATISTICS)
     sets["text_stats"] = of.assemble(stats, of.TEXT_STATISTICS).select(row_id, "features")
 
     combined = {"tfidf": sets["tfidf"]}

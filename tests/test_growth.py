@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import text as ft
 from cohortlens.operators import text as ot
+from cohortlens.plans import features as pf, text as pt
 
 
 def _docs(spark, n=60):
@@ -75,3 +76,16 @@ def test_sections_in_any_case(spark):
     df = spark.createDataFrame([(text,), ("none",), (None,)], "text string")
     out = df.select(ft.remove_sections(F.col("text"), ft.DEFAULT_REMOVED_SECTIONS))
     assert [r[0] for r in out.collect()] == ["a\n\nNext One\nz", "none", None]
+
+
+def test_sets_are_combined_from_written_parts(spark):
+    rows = [(i, f"t{i % 7} x", ["aa", f"t{i % 7}", "bb"], 40 + i, "M", "Medicare", "Urgent", 2.0, i % 3, 5, 0) for i in range(30)]
+    df = spark.createDataFrame(
+        [(r[0], r[1], r[1], *r[2:]) for r in rows],
+        "doc_id int, text string, cleaned_text string, tokens array<string>, anchor_age int, gender string, insurance string,"
+        " admission_type string, los_days double, num_prior_admissions int, days_since_last_admission int, prior_expire_flag int",
+    )
+    sets = pf.build_feature_sets(df, label=None, train=df.where("doc_id < 20"), tfidf={"min_df": 1, "max_df": 1.0})
+    assert "regexp" not in sets["combined"]._jdf.queryExecution().optimizedPlan().toString()
+    got = sets["combined"].collect()
+    assert len(got) == 30 and {len(r["features"]) for r in got} == {len(sets["tfidf"].first()["features"]) + 17}
