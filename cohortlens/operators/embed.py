@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 # Window of the encoder and the step between windows.
 MAX_LENGTH = 512
 STRIDE = 256
+#: Chunks whose token vectors are laid out together: some tens of MB.
+CHUNKS_AT_ONCE = 256
 
 
 def chunk_rows(
@@ -47,27 +49,28 @@ def hashed_encoder(dims: int = 64, seed: int = 42, pooling: str = "mean") -> Cal
     its hash; a chunk is the mean of its tokens' vectors, or its first token's."""
     from hashlib import blake2b
 
+    def vector(token: str) -> np.ndarray:
+        raw = b""
+        while len(raw) * 8 < dims:
+            raw += blake2b(f"{seed}:{len(raw)}:{token}".encode()).digest()
+        bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8))[:dims]
+        return bits.astype(np.float32) * 2 - 1
+
     def encode(chunks: pd.Series) -> list[np.ndarray]:
-        known: dict[str, np.ndarray] = {}
-
-        def vector(token: str) -> np.ndarray:
-            if token not in known:
-                raw = b""
-                while len(raw) * 8 < dims:
-                    raw += blake2b(f"{seed}:{len(raw)}:{token}".encode()).digest()
-                bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8))[:dims]
-                known[token] = bits.astype(np.float32) * 2 - 1
-            return known[token]
-
-        out = []
-        for chunk in chunks:
-            if len(chunk) == 0:
-                out.append(np.zeros(dims, dtype=np.float32))
-            elif pooling == "cls":
-                out.append(vector(chunk[0]))
-            else:
-                out.append(np.mean([vector(t) for t in chunk], axis=0))
-        return out
+        used = [c[:1] if pooling == "cls" else c for c in chunks]
+        sizes = np.array([len(c) for c in used], dtype=np.int64)
+        out = np.zeros((len(used), dims), dtype=np.float32)
+        if not sizes.sum():
+            return list(out)
+        places, tokens = pd.factorize(np.concatenate([np.asarray(c, dtype=object) for c in used]))
+        vectors = np.stack([vector(t) for t in tokens])
+        ends = np.cumsum(sizes)
+        some = np.flatnonzero(sizes)
+        for at in np.split(some, range(CHUNKS_AT_ONCE, len(some), CHUNKS_AT_ONCE)):
+            low, high = ends[at[0]] - sizes[at[0]], ends[at[-1]]
+            sums = np.add.reduceat(vectors[places[low:high]], ends[at] - sizes[at] - low, axis=0)
+            out[at] = sums / sizes[at, None].astype(np.float32)
+        return list(out)
 
     return encode
 

@@ -2,12 +2,15 @@
 
 import random
 from collections import Counter
+from hashlib import blake2b
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions import text as ft
-from cohortlens.operators import text as ot
+from cohortlens.operators import embed as oe, text as ot
 from cohortlens.plans import features as pf, text as pt
 
 
@@ -89,3 +92,19 @@ def test_sets_are_combined_from_written_parts(spark):
     assert "regexp" not in sets["combined"]._jdf.queryExecution().optimizedPlan().toString()
     got = sets["combined"].collect()
     assert len(got) == 30 and {len(r["features"]) for r in got} == {len(sets["tfidf"].first()["features"]) + 17}
+
+
+@pytest.mark.parametrize("pooling", ["mean", "cls"])
+def test_chunks_are_encoded_together(pooling, monkeypatch):
+    def vector(token):
+        bits = np.unpackbits(np.frombuffer(blake2b(f"42:0:{token}".encode()).digest(), dtype=np.uint8))[:24]
+        return bits.astype(np.float32) * 2 - 1
+
+    monkeypatch.setattr(oe, "CHUNKS_AT_ONCE", 3)
+    rnd = random.Random(1)
+    chunks = pd.Series([[f"t{rnd.randrange(9)}" for _ in range(n)] for n in (0, 3, 1, 0, 0, 7, 5, 2, 11, 0)])
+    got = oe.hashed_encoder(24, pooling=pooling)(chunks)
+    for chunk, v in zip(chunks, got, strict=True):
+        used = [vector(t) for t in (chunk[:1] if pooling == "cls" else chunk)] or [np.zeros(24, dtype=np.float32)]
+        assert v.dtype == np.float32 and (v == np.mean(used, axis=0)).all()
+    assert [v.tolist() for v in oe.hashed_encoder(24)(pd.Series([[], []]))] == [[0.0] * 24] * 2
