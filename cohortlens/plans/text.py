@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as ft
-from ..operators.text import add_clean_text, add_phrases, keep_length_between, lemmatize
+from ..operators.text import add_clean_text, add_phrases, exploded, keep_length_between, lemmatize
 
 
 def prepare_text(
@@ -24,7 +24,10 @@ def prepare_text(
 ) -> DataFrame:
     """Remove sections, clean, drop documents outside the length bounds, tokenize,
     join phrases; adds cleaned_text, tokens and num_tokens."""
-    out = keep_length_between(add_clean_text(df, text, removed_sections), min_length, max_length)
+    cleaned = add_clean_text(df, text, removed_sections, "_cleaned")
+    # Made a row of its own: the test of its length would clean each text once more.
+    kept = [c for c in df.columns if c != "cleaned_text"]
+    out = keep_length_between(exploded(cleaned, kept, F.array("_cleaned"), "cleaned_text"), min_length, max_length)
     out = out.withColumn("tokens", ft.tokenize(F.col("cleaned_text"), extra_stopwords))
     if lemmas is not None:
         out = lemmatize(out, lemmas, doc_id)

@@ -108,3 +108,9 @@ def test_chunks_are_encoded_together(pooling, monkeypatch):
         used = [vector(t) for t in (chunk[:1] if pooling == "cls" else chunk)] or [np.zeros(24, dtype=np.float32)]
         assert v.dtype == np.float32 and (v == np.mean(used, axis=0)).all()
     assert [v.tolist() for v in oe.hashed_encoder(24)(pd.Series([[], []]))] == [[0.0] * 24] * 2
+
+
+def test_texts_are_cleaned_once_before_the_length_test(spark):
+    df = spark.createDataFrame([(1, "word " * 30)], "doc_id int, text string")
+    plan = pt.prepare_text(df, use_phrases=False).select("tokens", "cleaned_text")
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("_{2,}") == 1
