@@ -3,7 +3,7 @@ or hold a few values with billions of rows each."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import ratio, round_even
 from .ranking import join_groups, label_totals, rank_sums
@@ -71,49 +71,66 @@ def roc_points(
     label: str = "y_true",
     score: str = "y_prob",
     drop_collinear: bool = True,
+    lone_ends: bool = True,
 ) -> DataFrame:
     """(threshold, fpr, tpr) for every distinct score plus the origin (infinite
     threshold).  Points inside a straight stretch are dropped: those whose step is
-    followed by an equal step.  One class only: the diagonal's two ends."""
+    followed by an equal step.  One class only: the diagonal's two ends, or without
+    ``lone_ends`` every point, with NaN for a share of none.  Unknown (null) labels count
+    as no row; their scores stay thresholds, null while nothing known is above."""
     totals = label_totals(df, keys, score, label)
     # Going down the scores, the step after a point is the next lower score's.
     following = _next_lower(totals, keys) if drop_collinear else totals
     if drop_collinear:
-        turn = (
-            F.col("_next").isNull()
-            | (F.col("_next.pos") != F.col("pos"))
-            | (F.col("_next.neg") != F.col("neg"))
-        )
-        following = following.where(turn)
-    both = (F.col("total_pos") > 0) & (F.col("total_neg") > 0)
-    points = following.where(both).select(
+        turn = (F.col("_next.pos") != F.col("pos")) | (F.col("_next.neg") != F.col("neg"))
+        unknown, next_unknown = F.col("rows") == 0, F.col("_next.pos") + F.col("_next.neg") == 0
+        following = following.where(F.col("_next").isNull() | next_unknown | (~unknown & turn))
+    tp, fp = _from_the_top("pos"), _from_the_top("neg")
+    points = _of_curve(following, lone_ends).select(
         *keys,
         F.col("score").alias("threshold"),
-        ((F.col("total_neg") - F.col("cum_neg") + F.col("neg")) / F.col("total_neg")).alias("fpr"),
-        ((F.col("total_pos") - F.col("cum_pos") + F.col("pos")) / F.col("total_pos")).alias("tpr"),
-    )
-    return points.unionByName(
-        _end_points(totals, keys, "fpr", "tpr", [(0.0, 0.0)], [(0.0, 0.0), (1.0, 1.0)])
+        _share(fp, "total_neg", tp + fp).alias("fpr"),
+        _share(tp, "total_pos", tp + fp).alias("tpr"),
     )
+    lone = [(0.0, 0.0), (1.0, 1.0)] if lone_ends else [(0.0, 0.0)]
+    return points.unionByName(_end_points(totals, keys, "fpr", "tpr", [(0.0, 0.0)], lone))
 
 
 def pr_points(
-    df: DataFrame, keys: list[str], label: str = "y_true", score: str = "y_prob"
+    df: DataFrame,
+    keys: list[str],
+    label: str = "y_true",
+    score: str = "y_prob",
+    lone_ends: bool = True,
 ) -> DataFrame:
-    """(threshold, precision, recall) for every distinct score plus (1, 0)."""
+    """(threshold, precision, recall) for every distinct score plus (1, 0).  One class only:
+    (0, 1) and (1, 0), or without ``lone_ends`` every point as in ``roc_points``."""
     totals = label_totals(df, keys, score, label)
-    tp = F.col("total_pos") - F.col("cum_pos") + F.col("pos")
-    fp = F.col("total_neg") - F.col("cum_neg") + F.col("neg")
-    both = (F.col("total_pos") > 0) & (F.col("total_neg") > 0)
-    points = totals.where(both).select(
+    tp, fp = _from_the_top("pos"), _from_the_top("neg")
+    points = _of_curve(totals, lone_ends).select(
         *keys,
         F.col("score").alias("threshold"),
-        (tp / (tp + fp)).alias("precision"),
-        ratio(tp, F.col("total_pos")).alias("recall"),
-    )
-    return points.unionByName(
-        _end_points(totals, keys, "precision", "recall", [(1.0, 0.0)], [(0.0, 1.0), (1.0, 0.0)])
+        F.try_divide(tp, tp + fp).alias("precision"),
+        _share(tp, "total_pos", tp + fp).alias("recall"),
     )
+    lone = [(0.0, 1.0), (1.0, 0.0)] if lone_ends else [(1.0, 0.0)]
+    return points.unionByName(_end_points(totals, keys, "precision", "recall", [(1.0, 0.0)], lone))
+
+
+def _from_the_top(kind: str) -> Column:
+    """Rows of a class at or above a score."""
+    return F.col(f"total_{kind}") - F.col(f"cum_{kind}") + F.col(kind)
+
+
+def _of_curve(totals: DataFrame, lone_ends: bool) -> DataFrame:
+    both = (F.col("total_pos") > 0) & (F.col("total_neg") > 0)
+    return totals.where(both) if lone_ends else totals
+
+
+def _share(part: Column, total: str, seen: Column) -> Column:
+    """``part`` of a class's rows: NaN if there are none, null while nothing is ``seen``."""
+    share = F.when(F.col(total) == 0, float("nan")).otherwise(F.try_divide(part, F.col(total)))
+    return F.when(seen > 0, share)
 
 
 def _end_points(totals, keys, x, y, usual, one_class) -> DataFrame:

@@ -92,11 +92,13 @@ def running_totals(
 
 def label_totals(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Running positives, negatives and rows by ascending score, the score's
-    ``_bucket``, and how many rows have the label 1 (``ones``) or 0 (``zeros``)."""
-    pos = F.coalesce(F.col(label).cast("long"), F.lit(0).cast("long"))
+    ``_bucket``, and how many rows have the label 1 (``ones``) or 0 (``zeros``).  A row
+    without a label is none of these; its score stays."""
+    y = F.col(label).cast("long")
+    pos, neg = (F.coalesce(c, F.lit(0).cast("long")) for c in (y, 1 - y))
     known = [F.coalesce((F.col(label) == y).cast("long"), F.lit(0)) for y in (1, 0)]
     slim = df.select(
-        *keys, F.col(score).cast("double").alias("score"), pos.alias("pos"), (1 - pos).alias("neg"),
+        *keys, F.col(score).cast("double").alias("score"), pos.alias("pos"), neg.alias("neg"),
         known[0].alias("ones"), known[1].alias("zeros"),
     )
     out = bucketed_totals(slim, keys, "score", ["pos", "neg", "ones", "zeros"])
@@ -127,7 +129,7 @@ def rank_sums(totals: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("pos").alias("n_pos"),
         F.sum("neg").alias("n_neg"),
         F.sum(F.col("pos") * rank).alias("rank_sum_pos"),
-        F.sum(F.col("pos") * pos_above / rows_above).alias("_precision_mass"),
+        F.sum(F.try_divide(F.col("pos") * pos_above, rows_above)).alias("_precision_mass"),
         F.sum(t * t * t - t).alias("tie_term"),
     )
     n1, n0 = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")

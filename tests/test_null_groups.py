@@ -32,6 +32,21 @@ def test_metrics_and_curves(rows):
         assert {r.grp for r in points(rows, ["grp"]).collect()} == {"a", None}
 
 
+def test_curves_keep_every_point_of_one_class_and_count_no_unknown_label(spark):
+    rows = [("a", 0, 0.2), ("a", 0, 0.4), ("b", None, 0.9), ("b", 1, 0.7), ("b", None, 0.7), ("b", None, 0.5), ("b", 0, 0.1)]
+    df = spark.createDataFrame(rows, "grp string, y_true int, y_prob double")
+    found = evaluate.pr_points(df, ["grp"], lone_ends=False).where("threshold < 2").collect()
+    got = {(r.grp, r.threshold): (r.precision, "nan" if r.recall != r.recall else r.recall) for r in found}
+    assert got == {
+        ("a", 0.2): (0, "nan"), ("a", 0.4): (0, "nan"),
+        ("b", 0.9): (None, None), ("b", 0.7): (1, 1), ("b", 0.5): (1, 1), ("b", 0.1): (0.5, 1),
+    }
+    found = evaluate.roc_points(df, ["grp"], lone_ends=False).where("threshold < 2 AND grp = 'b'").collect()
+    assert {r.threshold: (r.fpr, r.tpr) for r in found} == {0.7: (0, 1), 0.1: (1, 1)}
+    got = {r.grp: r.roc_auc for r in evaluate.binary_metrics(df, ["grp"]).collect()}
+    assert got == {"a": 0, "b": 1}
+
+
 def test_splits_and_folds(spark):
     table = spark.range(300).select("id", F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("int")).alias("y"))
     split = ranking.stratified_split(table, "y", ["id"])
