@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.bands import direction
 from ..functions.numeric import let
 from ..session import scratch_path, ship_package
+from . import forest
 from .boosting import BoostedTrees
 
 
@@ -37,6 +38,13 @@ def contributions(
         )
     if isinstance(model, (RandomForestClassificationModel, GBTClassificationModel, BoostedTrees)):
         return tree_contributions(model, df, row_id, column)
+    if isinstance(model, forest.Forest):
+        rows = df.select(row_id, F.col(column).alias(model.getOrDefault(model.featuresCol)), vector_to_array(column).alias("x"))
+        n = model.getNumTrees
+        return model.with_sums(rows, _forest_contributions, forest.EXPLAIN_ROWS).select(
+            row_id, "x", F.transform("_sums", lambda v: v / n).alias("contributions"),
+            F.lit(model.base(df.sparkSession)).alias("base"),
+        )
     raise TypeError(f"no contributions for {type(model).__name__}")
 
 
@@ -174,6 +182,18 @@ def _walk(x, tree, node, product, known, points, weights, out) -> np.ndarray:
 EXPLAIN_ROWS = 1024
 
 
+def _forest_contributions(bins: np.ndarray, tree: dict) -> np.ndarray:
+    """``path_contributions`` of one tree whose cuts are bins."""
+    left = tree["left"].tolist()
+    flat = {
+        "feature": tree["feature"].tolist(), "threshold": tree["bin"].tolist(), "left": left,
+        "right": [n + 1 for n in left], "value": tree["value"].tolist(), "cover": tree["cover"].tolist(),
+    }
+    return np.vstack([
+        path_contributions(bins[start : start + EXPLAIN_ROWS], [flat]) for start in range(0, len(bins), EXPLAIN_ROWS)
+    ])
+
+
 def tree_contributions(model, df: DataFrame, row_id: str, column: str = "features") -> DataFrame:
     ship_package(df.sparkSession)
     trees = flat_trees(model)

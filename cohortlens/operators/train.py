@@ -14,7 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
-from . import boosting as bo, linear
+from . import boosting as bo, forest, linear
 from .evaluate import binary_metrics, fold_summary
 from .ranking import hash_rank, stratified_folds
 
@@ -156,6 +156,21 @@ def forest_rows(data: DataFrame, column: str) -> DataFrame:
     return even_rows(data, width[0] if width else 1)
 
 
+#: Nodes of a forest, at most, that Spark's own may hold in the driver.
+FOREST_NODES = 1 << 15
+
+
+def _large_forest(data: DataFrame, params: dict, column: str, seed: int) -> forest.Settings | None:
+    """Settings of a forest that is grown in tasks and kept in files: one that may have more
+    than ``FOREST_NODES`` nodes and has only settings known there."""
+    if set(params) - set(forest.Settings.__dataclass_fields__):
+        return None
+    settings = forest.Settings(**{"seed": seed, **params})
+    rows, width = data.count(), data.select(F.size(vector_to_array(F.col(column)))).first()
+    large = settings.most_nodes(rows) > FOREST_NODES
+    return settings if large and forest.fits(rows, width[0]) else None
+
+
 def boosted_settings(name: str, params: dict | None = None, held: bool = False, seed: int = 42) -> bo.Settings:
     """The preset with ``params`` on top; the leaf-capped one stops early on held rows."""
     stop = {"patience": PATIENCE} if held and name == "gbt_leafcapped" else {}
@@ -209,6 +224,8 @@ def train_model(
         return bo.fit_many([data], label, ids or None, [fit], column)[0]
     data = class_weights(train.select(label, column), label)
     if name == "random_forest":
+        if large := _large_forest(data, params or {}, column, seed):
+            return forest.fit(data, label, WEIGHT, large, column)
         data = forest_rows(data, column)
     total = train.count() if name == "logistic_regression" else 1.0
     return estimator(name, label, params, float(total), column, seed).fit(data)
