@@ -52,3 +52,19 @@ def test_top_of_wide_vectors_with_ties(spark):
         for row in out.select("row_id", F.expr("transform(top_features, f -> f.feature)").alias("f")).collect():
             want = sorted(range(40), key=lambda j: (-abs(r[row.row_id][j]), names[j]))[:top_n]
             assert row.f == [names[j] for j in want]
+
+
+@pytest.mark.parametrize("name, at", [("x5_lda_topic_words", "train_lda"), ("x7_document_topics", "train_lda"), ("x4_optimal_topics", "optimal_topics"), ("x12_topic_study", "optimal_topics")])
+def test_topic_models_keep_no_tokens(spark, monkeypatch, name, at):
+    seen = []
+
+    def stop(vectors, *args, **kwargs):
+        seen.append((vectors.columns, vectors.storageLevel.useMemory))
+        raise InterruptedError
+
+    from cohortlens.catalog import topics as queries
+
+    monkeypatch.setattr(tp, at, stop)
+    with pytest.raises(InterruptedError):
+        queries.QUERIES[name](spark, D)
+    assert seen == [(["doc_id", "counts"], True)]
