@@ -179,3 +179,38 @@ def test_rows_keep_their_leaves_while_a_tree_grows(monkeypatch):
     monkeypatch.setattr(bo, "_sums", lambda b, ask, margin, _: sums(b, ask, margin))
     [fresh] = bo._grow_here(fits, [WIDTH])(key, iter([pa.RecordBatch.from_pylist([block])]))
     assert kept.column("trees") == fresh.column("trees")
+
+
+def test_one_task_measures_the_next_leaf_only():
+    """The same trees as with all leaves measured ahead, by far fewer splits looked for."""
+    rng = np.random.default_rng(3)
+    n = 900
+    block = {
+        "bins": rng.integers(0, 64, (n, 6)).astype(np.uint8), "y": (rng.random(n) < 0.4) * 1.0,
+        "keys": rng.integers(0, 1 << 62, n).astype(np.uint64), "sides": {"w": np.ones(n)},
+    }
+    grown = {}
+    for ahead in (True, False):
+        grower, kept, margin = bo.Grower(bo.Fit(SETTINGS[1], "w"), 6, ahead), {}, np.zeros(n)
+        looked = 0
+        while not grower.done:
+            ask = grower.request()
+            for feature, cut, left, value in ask["trees"]:
+                margin = margin + value[bo.descend(block["bins"], feature, cut, left)]
+            grower.base = len(grower.trees)
+            looked += len(ask["nodes"])
+            grower.take(bo._sums(block, ask, margin, kept), None)
+        grown[ahead] = (looked, [t.__dict__ for t in grower.trees])
+    assert grown[True][1] == grown[False][1]
+    assert grown[False][0] <= 8 * 9 < grown[True][0]
+
+
+def test_a_larger_table_meets_few_models_in_a_task(spark, monkeypatch):
+    x, y = data()
+    df = frame(spark, x, y)
+    fits = [bo.Fit(SETTINGS[0], "w")]
+    want = bo.fit_many([df], "label", ["row_id"], fits)[0].flat()
+    monkeypatch.setattr(bo, "PART_CELLS", x.size // 3)
+    monkeypatch.setattr(bo, "_grow_in_passes", None)
+    got = bo.fit_many([df], "label", ["row_id"], fits)[0].flat()
+    assert [(t["feature"], t["left"], t["threshold"]) for t in got] == [(t["feature"], t["left"], t["threshold"]) for t in want]
