@@ -365,8 +365,11 @@ def _sums(block: dict, ask: dict, margin: np.ndarray, kept: dict | None = None)
         bins = block["bins"][rows]
         state = {
             "bins": bins, "grad": grad, "hess": hess, "at": np.zeros(len(rows), np.int64),
-            "spots": np.arange(len(columns), dtype=np.int32) * BINS + bins[:, columns],
         }
+        if len(rows) > BLOCK_ROWS:  # a column at a time: no copies as wide as the table
+            state["columns"] = np.ascontiguousarray(bins[:, columns].T)
+        else:
+            state["spots"] = np.arange(len(columns), dtype=np.int32) * BINS + bins[:, columns]
         if kept is not None:
             kept.clear()
             kept.update(state)
@@ -378,6 +381,14 @@ def _sums(block: dict, ask: dict, margin: np.ndarray, kept: dict | None = None)
     place[nodes] = np.arange(len(nodes))
     # Nodes that are measured have no children yet; their rows end there.
     mine = np.flatnonzero(place[at] >= 0)
+    if "columns" in state:
+        grad, hess, offset = state["grad"][mine], state["hess"][mine], place[at[mine]] * BINS
+        sums = np.empty((3, len(nodes), len(columns), BINS))
+        for j, column in enumerate(state["columns"]):
+            spot = offset + column[mine]
+            for kind, v in enumerate((grad, hess, None)):
+                sums[kind, :, j] = np.bincount(spot, v, len(nodes) * BINS).reshape(-1, BINS)
+        return found | {node: sums[:, i] for i, node in enumerate(nodes)}
     cells = len(columns) * BINS
     spot = ((place[at[mine]] * cells)[:, None] + state["spots"][mine]).ravel()
     sums = np.stack([
@@ -401,6 +412,15 @@ def _measure(run: str, asked: dict[int, dict]):
     return task
 
 
+def _joined(blocks: list[dict]) -> dict:
+    """One block of some blocks' rows."""
+    if len(blocks) == 1:
+        return blocks[0]
+    whole = {k: np.concatenate([b[k] for b in blocks]) for k in ("bins", "y", "keys")}
+    sides = {name: np.concatenate([b["sides"][name] for b in blocks]) for name in blocks[0]["sides"]}
+    return {**blocks[0], **whole, "sides": sides, "n": len(whole["y"])}
+
+
 def _grow_here(fits: Sequence[Fit], widths: list[int]):
     """Grow one model where all blocks of its table have met: the same steps without the
     way back to the driver after each of them."""
@@ -409,7 +429,7 @@ def _grow_here(fits: Sequence[Fit], widths: list[int]):
         number = key[0].as_py()
         fit = fits[number]
         grower = Grower(fit, widths[fit.table], ahead=False)
-        blocks = sorted(_blocks(batches), key=lambda b: b["block"])
+        blocks = [_joined(sorted(_blocks(batches), key=lambda b: b["block"]))]
         margins, kept = [np.zeros(b["n"]) for b in blocks], [{} for _ in blocks]
         while not grower.done:
             ask = grower.request()

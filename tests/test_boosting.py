@@ -214,3 +214,24 @@ def test_a_larger_table_meets_few_models_in_a_task(spark, monkeypatch):
     monkeypatch.setattr(bo, "_grow_in_passes", None)
     got = bo.fit_many([df], "label", ["row_id"], fits)[0].flat()
     assert [(t["feature"], t["left"], t["threshold"]) for t in got] == [(t["feature"], t["left"], t["threshold"]) for t in want]
+
+
+@pytest.mark.parametrize("nodes", [1, 3])
+def test_wide_blocks_are_summed_by_columns(monkeypatch, nodes):
+    rng = np.random.default_rng(4)
+    n, s = 700, SETTINGS[0]
+    block = {
+        "bins": rng.integers(0, 64, (n, 6)).astype(np.uint8), "y": (rng.random(n) < 0.4) * 1.0,
+        "keys": rng.integers(0, 1 << 62, n).astype(np.uint64), "sides": {"w": np.ones(n)},
+    }
+    tree = bo.Tree([0, 1, 0, 0, 0], [30, 20, 0, 0, 0], [1, 3, -1, -1, -1], [0.0] * 5, [0.0] * 5, [0.0] * 5)
+    ask = {
+        "held": None, "fresh": True, "nodes": [2, 3, 4][:nodes], "columns": np.array([0, 2, 5]), "grown": tree.arrays(),
+        "weight": "w", "settings": s, "number": 0,
+    }
+    want = bo._sums(block, ask, np.zeros(n))
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 100)
+    kept = {}
+    got = bo._sums(block, ask, np.zeros(n), kept)
+    assert "columns" in kept and "spots" not in kept
+    assert all((got[k] == want[k]).all() for k in want) and len(got) == nodes
