@@ -213,13 +213,16 @@ for _id, _name in (
 
 
 #: Metrics from the scores by their definitions: all pairs of a positive and a negative
-#: row, and a precision per distinct score.
+#: row, and a precision per distinct score.  One side is in parts, each with all of the
+#: other, so that the pairs of a model are shared among the tasks.
 PLAIN_METRICS = """
-WITH s AS (SELECT model, label, y_prob FROM {scores}),
-auc AS (SELECT p.model, avg(CASE WHEN p.y_prob > n.y_prob THEN 1D WHEN p.y_prob = n.y_prob THEN 0.5D ELSE 0D END) AS roc_auc
-  FROM s p JOIN s n ON p.model = n.model WHERE p.label = 1 AND n.label = 0 GROUP BY p.model),
-cuts AS (SELECT c.model, c.y_prob, sum(r.label) AS tp, count(1) AS chosen FROM (SELECT DISTINCT model, y_prob FROM s) c
-  JOIN s r ON r.model = c.model AND r.y_prob >= c.y_prob GROUP BY c.model, c.y_prob),
+WITH s AS (SELECT model, label, y_prob, pmod(xxhash64(y_prob, label), {parts}) AS part FROM {scores}),
+every AS (SELECT model, label, y_prob, explode(sequence(0, {parts} - 1)) AS part FROM s),
+auc AS (SELECT /*+ SHUFFLE_HASH(n) */ p.model, avg(CASE WHEN p.y_prob > n.y_prob THEN 1D WHEN p.y_prob = n.y_prob THEN 0.5D ELSE 0D END) AS roc_auc
+  FROM s p JOIN every n ON p.model = n.model AND p.part = n.part WHERE p.label = 1 AND n.label = 0 GROUP BY p.model),
+cuts AS (SELECT /*+ SHUFFLE_HASH(r) */ c.model, c.y_prob, sum(r.label) AS tp, count(1) AS chosen
+  FROM (SELECT DISTINCT model, y_prob, pmod(xxhash64(y_prob), {parts}) AS part FROM s) c
+  JOIN every r ON r.model = c.model AND r.part = c.part AND r.y_prob >= c.y_prob GROUP BY c.model, c.y_prob),
 steps AS (SELECT *, tp - coalesce(lag(tp) OVER (PARTITION BY model ORDER BY y_prob DESC), 0) AS more,
   max(tp) OVER (PARTITION BY model) AS positives FROM cuts),
 ap AS (SELECT model, sum(more / positives * tp / chosen) AS pr_auc FROM steps GROUP BY model)
@@ -250,7 +253,7 @@ def m9_models(spark, d):
         part_ = tr.score(model, part(data, "test"), ["row_id", "label"]).withColumn("model", F.lit(name))
         scored = part_ if scored is None else scored.unionByName(part_)
     scored = materialize(scored, "model-scores")
-    plain = spark.sql(PLAIN_METRICS, scores=scored)
+    plain = spark.sql(PLAIN_METRICS, scores=scored, parts=rk.bucket_count(scored))
     ours = ev.binary_metrics(scored, ["model"], "label", digits=None)
     names = ("accuracy", "f1", "roc_auc", "pr_auc")
     agree = [F.abs(F.col(f"o.{c}") - F.col(f"p.{c}").cast("double")) < 1e-9 for c in names]

@@ -68,3 +68,17 @@ def test_forest_meets_few_partitions(spark):
     assert tr.forest_rows(rows, "features").rdd.getNumPartitions() == 1
     model = tr.train_model("random_forest", rows, "label", params={"numTrees": 3, "maxDepth": 4})
     assert model.getOrDefault("cacheNodeIds") and model.getNumTrees == 3
+
+
+def test_plain_metrics_share_the_pairs_of_a_model(spark):
+    from cohortlens.catalog import models
+
+    rows = [(m, int(i * 7 % 5 < 2), (i * 13 % 17) / 17) for m in ("a", "b") for i in range(60)]
+    scores = spark.createDataFrame(rows, "model string, label int, y_prob double")
+    one, many = (spark.sql(models.PLAIN_METRICS, scores=scores, parts=n) for n in (1, 5))
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    pairs = [(p, n) for m, y, p in rows if m == "a" and y for k, z, n in rows if k == "a" and not z]
+    want = sum((p > n) + 0.5 * (p == n) for p, n in pairs) / len(pairs)
+    assert {r.model: abs(r.roc_auc - want) < 1e-12 for r in many.collect()} == {"a": True, "b": True}
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("part#") > 4 and "BroadcastNestedLoopJoin" not in plan
